@@ -126,20 +126,13 @@ def _found(col: pa.Array, seeds: Seeds, least_score: float) -> list[tuple]:
     return [(r, i, *x) for (r, i), x in sorted(out.items())]
 
 
-def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.5, rare_part: float = 0.5, least_seeds: int = 8, words_a_block: int = 1_000_000) -> DataFrame:
-    """The pairs (doc_id, item_id) where a text of docs (doc_id, text, ...) holds a test item (item_id, text, ...).
-
-    Words are lower-cased, ASCII punctuation counts as white space. score is the Smith-Waterman score of the
-    best place (match 2, other word -1, gap -1) by that of an exact copy; pairs of at least least_score are
-    returned, with the seeds met there and the place as word_start and word_end (exclusive). Items of fewer
-    than n words, null or empty ones included, have no seed and are never found; a null text holds nothing.
-    Rows that repeat an id are compared each by itself. Blocks hold about words_a_block words of items.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def seed_blocks(docs: DataFrame, items: DataFrame, n: int = 3, rare_part: float = 0.5, least_seeds: int = 8, words_a_block: int = 1_000_000) -> list[Seeds]:
+    """The items (item_id, text, ...) in blocks of about ``words_a_block`` words, each with its rare n-grams among all docs."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     blocks = max(1, -(-int(own.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * words_a_block)))
     own = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    out = None
+    out = []
     for b in range(blocks):
         got = own.filter(F.col("block") == b).orderBy("item_id", "text").select("item_id", "text").toArrow()
         data, off = T.buffers(got.column("text"))
@@ -155,9 +148,25 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], ["key", "n"])
 
         counts = np.zeros(len(seeds.keys), np.int64)
-        seen = texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        seen = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         counts[seen.column("key").to_numpy()] = seen.column("n").to_numpy()
         seeds.rare(counts, rare_part, least_seeds)
+        out.append(seeds)
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
+    """The pairs (doc_id, item_id) where a text of docs (doc_id, text, ...) holds a test item (item_id, text, ...).
+
+    Words are lower-cased, ASCII punctuation counts as white space. score is the Smith-Waterman score of the
+    best place (match 2, other word -1, gap -1) by that of an exact copy; pairs of at least least_score are
+    returned, with the seeds met there and the place as word_start and word_end (exclusive). Items of fewer
+    than n words, null or empty ones included, have no seed and are never found; a null text holds nothing.
+    Rows that repeat an id are compared each by itself. Empty tables give an empty result.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for seeds in seed_blocks(docs, items, **options):
 
         def find(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -171,7 +180,17 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least_score: float = 0.
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no test item; rows without an id stay."""
-    found = leaks(docs, items, **options).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("leak_id"), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
+    """The rows of docs that hold no test item. The columns of docs; nothing is shuffled."""
+    place = docs.columns.index("text")
+    out = docs
+    for seeds in seed_blocks(docs, items, **options):
+
+        def keep(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                good[[r for r, *_ in _found(batch.column(place), seeds, least_score)]] = False
+                yield batch.filter(pa.array(good))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

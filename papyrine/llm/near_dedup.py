@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which near_duplicates keeps the id; a row that repeats another in full stays once."""
+    """The rows of docs of which near_duplicates keeps the id; rows without an id, or that share one, stay or go together."""
     keep = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    known = docs.filter(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    return known.union(docs.filter(F.col("doc_id").isNull()))

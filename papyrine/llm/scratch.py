@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,9 +31,10 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A new place in the shared folder; deleted at exit, or by release unless it is to be kept till then."""
     path = f"{shared_root(spark)}/papyrine/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    (_kept if kept else _made).append((spark, path))
     return path
 
 
@@ -56,7 +58,7 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for s, path in _made:
+    for s, path in _made + _kept:
         try:
             if s.sparkContext._jsc is not None:
                 _delete(s, path)

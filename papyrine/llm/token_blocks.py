@@ -133,10 +133,15 @@ def read_block(block: bytes, table: tuple) -> tuple[list, list[np.ndarray]]:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and the ids of each whole text with the end id, as little-endian u32."""
+    """doc_id and the ids of each whole text with the end id, as little-endian u32.
+
+    tokenizer is the driver's path of a file of the tokenizers library; executors get its content.
+    """
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        e, end = encoder(spec.value), np.uint32(end_id).tobytes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u4").tobytes() + end for x in e.encode(batch.column(1))], pa.binary())], ["doc_id", "ids"])
 

@@ -24,21 +24,20 @@ _open: dict[str, "Encoder"] = {}
 L, N, S, O = 1, 2, 3, 4
 
 
-def encoder(path: str) -> "Encoder":
-    """One for each Python worker and file."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+def encoder(spec: str) -> "Encoder":
+    """One for each Python worker and tokenizer file's content."""
+    if spec not in _open:
+        _open[spec] = Encoder(spec)
+    return _open[spec]
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, spec_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.lib = Tokenizer.from_str(spec_json)
+        spec = json.loads(spec_json)
         pre = spec.get("pre_tokenizer") or {}
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE"
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
