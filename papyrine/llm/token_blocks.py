@@ -143,7 +143,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = encoder(spec.value), np.uint32(end_id).tobytes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u4").tobytes() + end for x in e.encode(batch.column(1))], pa.binary())], ["doc_id", "ids"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u4").tobytes() + end for x in e.encode(part.column(1))], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 

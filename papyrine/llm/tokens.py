@@ -17,7 +17,7 @@ import pyarrow as pa
 from . import textvec as T
 
 LIMIT = 0x250
-MOST_CACHED = 2_000_000
+MOST_CACHED, SLOTS = 2_000_000, 1 << 22
 _g = np.random.Generator(np.random.PCG64(11))
 _CHAR = _g.integers(1, 2**63, LIMIT, dtype=np.uint64) * T.U(2) + T.U(1)
 _open: dict[str, "Encoder"] = {}
@@ -42,6 +42,8 @@ class Encoder:
         self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"]["type"] == "BPE"
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.lib.get_vocab_size()
+        line = self.lib.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.plain and len(line) == 1 else None
         if self.plain:
             cuts = lambda s: len(self.lib.pre_tokenizer.pre_tokenize_str(s))
             self.kind = np.array([0] + [L if cuts(f"a{chr(c)}") == 1 and cuts(f"{chr(c)}a") == 1 else N if cuts(f"1{chr(c)}") == 1 else O if cuts(f"!{chr(c)}") == 1 else S for c in range(1, LIMIT)], np.uint8)
@@ -50,24 +52,58 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Empties the cache: entries in order of arrival, found through two tables of slots."""
+        self.known, self.keys = 0, np.zeros(1 << 16, np.uint64)
+        self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.slots = [np.full(SLOTS, -1, np.int32) for _ in range(2)]
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for those that have none."""
+        e = self.slots[0][(h & T.U(SLOTS - 1)).astype(np.int64)]
+        lost = np.flatnonzero((e < 0) | (self.keys[e] != h))
+        if len(lost):
+            x = h[lost]
+            f = self.slots[1][(x >> T.U(64 - SLOTS.bit_length() + 1)).astype(np.int64)]
+            f[self.keys[f] != x] = -1
+            e[lost] = f
+        return e
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def asked(self, pieces: list[str]) -> list[list[int]]:
+        """The library's ids of pre-tokens: in one text, parted by line breaks, where that parts their ids too."""
+        out: list = [None] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if self.line is not None and not p.isspace() and "\n" not in p]
+        for lo in range(0, len(words), 1024):
+            some = words[lo : lo + 1024]
+            ids = np.array(self.lib.encode_batch_fast(["\n".join(pieces[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) == len(some) - 1:
+                for k, i in enumerate(some):
+                    out[i] = ids[cuts[k - 1] + 1 if k else 0 : cuts[k] if k < len(cuts) else len(ids)]
+        for i, p in enumerate(pieces):
+            if out[i] is None:
+                out[i] = np.array(self.lib.encode(p, add_special_tokens=False).ids, np.uint32)
+        return out
+
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > MOST_CACHED:
-            self.forget()
-        got = [e.ids for e in self.lib.encode_batch(pieces, add_special_tokens=False)]
+        got = self.asked(pieces)
         n = np.fromiter(map(len, got), np.int64, len(got))
         while self.used + n.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        at = self.used + np.cumsum(n) - n
-        self.flat[self.used : self.used + n.sum()] = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
-        self.used += int(n.sum())
-        to = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.n, to, n)
+        while self.known + len(keys) >= len(self.keys):
+            self.keys, self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.at, self.n))
+        at, own = self.used + np.cumsum(n) - n, np.arange(self.known, self.known + len(keys))
+        self.flat[self.used : self.used + n.sum()] = np.concatenate(got)
+        self.keys[own], self.at[own], self.n[own] = keys, at, n
+        self.used, self.known = self.used + int(n.sum()), self.known + len(keys)
+        first, second = (keys & T.U(SLOTS - 1)).astype(np.int64), (keys >> T.U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        free = self.slots[0][first] < 0
+        self.slots[0][first[free]] = own[free]
+        placed = self.slots[0][first] == own
+        self.slots[1][second[~placed]] = own[~placed]
 
     def pieces(self, cp: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where pre-tokens start, for documents at ``off`` of the characters ``cp``."""
@@ -97,19 +133,17 @@ class Encoder:
         en = np.append(st[1:], len(cp))
         pos = np.arange(len(cp)) - np.repeat(st, en - st)
         h = T.mix(np.add.reduceat(_CHAR[cp] * T.powers(int(pos.max()) + 1)[pos], st) + (en - st).astype(np.uint64))
-        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > MOST_CACHED:
+        at = self.find(h)
+        if (at < 0).any():
+            if self.known > MOST_CACHED:
                 self.forget()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            self.learn(keys[new], [text[a:b] for a, b in zip(st[where[new]].tolist(), en[where[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        at = at[back]
+                at[:] = -1
+            new = np.flatnonzero(at < 0)
+            keys, where, back = np.unique(h[new], return_index=True, return_inverse=True)
+            where = new[where]
+            base = self.known
+            self.learn(keys, [text[a:b] for a, b in zip(st[where].tolist(), en[where].tolist(), strict=True)])
+            at[new] = base + back
         n = self.n[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[at] - (ends - n), n) + np.arange(ends[-1])]
