@@ -248,9 +248,9 @@ def character_dictionary(lines: str) -> list[str]:
         return v.split(" #", 1)[0]
 
     section, depth, found, inside = None, None, [], False
-    for line in lines.splitlines():
+    for line in lines.split("\n"):
         body = line.strip()
-        if not body or (body.startswith("#") and not inside):
+        if not body or body.startswith("#"):
             continue
         indent = len(line) - len(line.lstrip())
         if inside:
