@@ -69,14 +69,17 @@ WHITE = b"\t\n\x0b\x0c\r "
 
 
 def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    """A literal map of strings, numbers and booleans."""
+    sql = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"double({x!r})" if isinstance(x, float) else str(x)
+    return F.expr("map(" + ", ".join(sql(x) for kv in pairs.items() for x in kv) + ")")
 
 
 def type_info(label: Column) -> Column:
     """struct(label, mime_type, group, description, extensions, is_text) of a label; null for a null label."""
     get = lambda i: F.element_at(_map({k: v[i] for k, v in TYPES.items()}), label)
-    some = F.create_map(*[x for k, v in TYPES.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v[4]]).cast("array<string>"))])
-    return F.when(label.isNotNull(), F.struct(label.alias("label"), get(0).alias("mime_type"), get(1).alias("group"), get(2).alias("description"), F.element_at(some, label).alias("extensions"), get(3).alias("is_text")))
+    some = F.split(F.element_at(_map({k: " ".join(v[4]) for k, v in TYPES.items()}), label), " ")
+    some = F.filter(some, lambda e: e != "")
+    return F.when(label.isNotNull(), F.struct(label.alias("label"), get(0).alias("mime_type"), get(1).alias("group"), get(2).alias("description"), some.alias("extensions"), get(3).alias("is_text")))
 
 
 def stem_of(path: Column) -> Column:
@@ -164,8 +167,8 @@ def heic_override(label: Column, origin: Column, confidence: Column, content: Co
 def signature_label(content: Column) -> Column:
     """A label from the first bytes and, for archives, from the names of entries; txt for other valid UTF-8, else unknown."""
     lead = F.hex(F.substring(content, 1, 8))
-    text = F.ltrim(F.lower(F.decode(F.substring(content, 1, 512), F.lit("ISO-8859-1"))))
-    inner = F.decode(content, F.lit("ISO-8859-1"))
+    text = F.ltrim(F.lower(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
+    inner = F.decode(content, "ISO-8859-1")
     archive = (
         F.when(inner.contains("application/epub+zip"), "epub")
         .when(inner.contains("application/vnd.oasis.opendocument.text"), "odt")

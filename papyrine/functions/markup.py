@@ -139,8 +139,7 @@ def needs_tokenizer(c: Column) -> Column:
 
 
 def markup_text(c: Column) -> Column:
-    """struct(text, fault): visible text, or what is wrong with the markup. Null for null."""
-    odd = needs_tokenizer(c)
-    exact = F.pandas_udf(_exact, "struct<text:string,fault:string>")(F.when(odd, c))
-    plain = F.struct(fast_text(c).alias("text"), F.lit(None).cast("string").alias("fault"))
-    return F.when(odd, exact).otherwise(plain)
+    """struct(text, fault): visible text, or what is wrong with the markup. Nulls for null."""
+    exact = F.pandas_udf(_exact, "struct<text:string,fault:string>")(F.when(needs_tokenizer(c), c))
+    text = F.coalesce(exact["text"], F.when(exact["fault"].isNull(), fast_text(c)))
+    return F.struct(text.alias("text"), exact["fault"].alias("fault"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detect as D
 from ..functions.blake3 import blake3_hex
 from ..providers import Classifier, loaded
-from ..schema import METADATA, null
+from ..schema import null
 
 
 def classified(files: DataFrame, model: Classifier, block: int = 4096) -> DataFrame:
@@ -61,13 +61,22 @@ def detect_types(files: DataFrame, model: Classifier | None = None) -> DataFrame
     return ruled.union(classified(rows.filter("_rule is null").drop("_rule"), model).select(ruled.columns))
 
 
-def with_metadata(files: DataFrame, model: Classifier | None = None, hashed: bool = True) -> DataFrame:
-    """files with a metadata struct; its hash is the BLAKE3 of the whole content (null if not hashed)."""
-    path = F.col("path") if "path" in files.columns else null("string")
-    info = D.type_info(F.col("label"))
-    made = F.struct(
-        D.stem_of(path).alias("stem"), D.extension_of(path).alias("extension"), "label", info["mime_type"].alias("mime_type"), info["description"].alias("description"),
-        info["is_text"].alias("is_text"), "confidence", "origin", (blake3_hex(F.col("content")) if hashed else null("string")).alias("hash"),
-    )
+def described(files: DataFrame, model: Classifier | None = None) -> DataFrame:
+    """files with label, confidence, origin, mime_type, description, is_text."""
     rows = detect_types(files, model)
-    return rows.withColumn("metadata", F.when(F.col("label").isNotNull(), made).cast(METADATA)).drop("label", "confidence", "origin")
+    of = lambda i: F.try_element_at(D._map({k: v[i] for k, v in D.TYPES.items()}), F.col("label"))
+    return rows.withColumns({"mime_type": of(0), "description": of(2), "is_text": of(3)})
+
+
+def metadata_of(rows: DataFrame, hashed: bool = True) -> Column:
+    """The metadata struct of described rows; its hash is the BLAKE3 of the whole content (null if not hashed)."""
+    path = F.col("path") if "path" in rows.columns else null("string")
+    own = blake3_hex(F.col("content")) if hashed else null("string")
+    made = F.struct(D.stem_of(path).alias("stem"), D.extension_of(path).alias("extension"), "label", "mime_type", "description", "is_text", "confidence", "origin", own.alias("hash"))
+    return F.when(F.col("label").isNotNull(), made)
+
+
+def with_metadata(files: DataFrame, model: Classifier | None = None, hashed: bool = True) -> DataFrame:
+    """files with a metadata struct."""
+    rows = described(files, model)
+    return rows.select(*files.columns, metadata_of(rows, hashed).alias("metadata"))

@@ -15,8 +15,8 @@ from ..functions.detect import ORIGIN_ENGINE, _map, is_utf8
 from ..functions.markup import markup_text
 from ..providers import Classifier, OcrModels
 from ..schema import ERROR, METADATA, PARTS, STEPS, error, null
-from .detection import with_metadata
-from .ocr import recognised
+from .detection import described, metadata_of
+from .ocr import decoded, page_of
 
 PDF = "application/pdf"
 PPTX = "application/vnd.openxmlformats-officedocument.presentationml.presentation"
@@ -71,30 +71,47 @@ def route(mime: Column, is_text: Column) -> Column:
     )
 
 
-def _archive(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = []
-    readers = {"docx": archives.docx_text, "pptx": archives.pptx_text, "epub": archives.epub_text}
-    for k, x in zip(kind, content, strict=True):
-        began, text, pages, fault = time.perf_counter(), None, None, None
-        if x is not None:
-            try:
-                if k == "pdf":
-                    pages = archives.pdf_pages(x)
-                    text = "\n".join(pages)
-                else:
-                    text = readers[k](x)
-            except KeyError as e:
-                fault = f"no reader or member for {k}: {e}"
-            except Exception as e:  # noqa: BLE001 - one damaged document must not fail the job
-                fault = f"{type(e).__name__}: {e}"
-        rows.append((text, pages, fault, int((time.perf_counter() - began) * 1000)))
-    return pd.DataFrame(rows, columns=["text", "pages", "fault", "ms"])
-
-
-def extracted_text(text: Column, is_mark: Column) -> Column:
-    """struct(text, fault) of UTF-8 text: markup is made plain, other text stays as it is."""
-    marked = markup_text(F.when(is_mark, text))
-    return F.when(is_mark, marked).otherwise(F.struct(text.alias("text"), null("string").alias("fault")))
+READ = f"struct<text:string,parts:{PARTS},pages:bigint,fault:string,ms:bigint>"
+
+
+def _parts(texts: list, pages: bool = False, boxes: list | None = None) -> list[dict]:
+    """Parts with a text other than white space, numbered from 0."""
+    some = [(i, t) for i, t in enumerate(texts) if t.strip()]
+    place = lambda i: {"confidence": boxes[i]["confidence"] if boxes else None, "page": i + 1 if pages else None, "bbox": boxes[i]["bbox"] if boxes else None}
+    return [{"index": k, "kind": "text", "text": t, "provenance": place(i)} for k, (i, t) in enumerate(some)]
+
+
+def _reader(models: OcrModels | None):  # noqa: ANN202
+    """A UDF that reads archives and images: (way, extension, content) to READ; nulls for null contents."""
+
+    def one(way: str, kind: str, x: bytes) -> tuple:
+        if way == "image":
+            if models is None:
+                raise ValueError("no text recognition models are given")
+            blocks = page_of(decoded(x), models)["blocks"]
+            parts = _parts([b["text"] for b in blocks], boxes=blocks)
+            return "\n\n".join(p["text"] for p in parts) or None, parts, None
+        if kind == "pdf":
+            pages = archives.pdf_pages(x)
+            return "\n".join(pages), _parts(pages, pages=True) or None, len(pages)
+        readers = {"docx": archives.docx_text, "pptx": archives.pptx_text, "epub": archives.epub_text}
+        if kind not in readers:
+            raise ValueError(f"no reader for {kind} is built in")
+        return readers[kind](x), None, None
+
+    def run(way: pd.Series, kind: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for w, k, x in zip(way, kind, content, strict=True):
+            began, got, fault = time.perf_counter(), (None, None, None), None
+            if x is not None:
+                try:
+                    got = one(w, k, x)
+                except Exception as e:  # noqa: BLE001 - one damaged document must not fail the job
+                    fault = str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}"
+            rows.append((*got, fault, int((time.perf_counter() - began) * 1000)))
+        return pd.DataFrame(rows, columns=["text", "parts", "pages", "fault", "ms"]).astype({"pages": "Int64"})
+
+    return F.pandas_udf(run, READ)
 
 
 def extract(files: DataFrame, config: ExtractionConfig | None = None) -> DataFrame:
@@ -106,49 +123,53 @@ def extract(files: DataFrame, config: ExtractionConfig | None = None) -> DataFra
     """
     config = config or ExtractionConfig()
     rest = [c for c in files.columns if c not in ("content", "metadata", "pipeline", "text", "parts", "error")]
+    nothing = F.array().cast(STEPS)
     problem = F.when(F.col("content").isNull(), error("Io", None, "content can't be read")).when(F.length("content") == 0, error("NoContents", None, "document has no contents"))
     if not (config.metadata or config.content or config.parts):
-        return files.select(*rest, null(METADATA).alias("metadata"), F.array().cast(STEPS).alias("pipeline"), null("string").alias("text"), null(PARTS).alias("parts"), problem.cast(ERROR).alias("error"))
-
-    rows = with_metadata(files, config.classifier, hashed=config.metadata).withColumn("_problem", problem)
-    detection = C.step("detection", F.coalesce(F.try_element_at(_map(ORIGIN_ENGINE), F.col("metadata.origin")), F.lit("rule")), {"types": F.lit(1)})
+        return files.select(*rest, null(METADATA).alias("metadata"), nothing.alias("pipeline"), null("string").alias("text"), null(PARTS).alias("parts"), problem.alias("error"))
+
+    rows = described(files, config.classifier)
+    types = F.create_map(F.lit("types"), F.lit(1).cast("bigint"))
+    engine_of = F.coalesce(F.try_element_at(_map(ORIGIN_ENGINE), F.col("origin")), F.lit("rule"))
+    detection = F.struct(F.lit("detection").alias("step"), engine_of.alias("engine"), F.lit(0).cast("bigint").alias("duration_ms"), types.alias("outputs"))
+    if config.metadata:
+        rows = rows.withColumn("metadata", metadata_of(rows))
     shown = F.col("metadata") if config.metadata else null(METADATA)
     if not (config.content or config.parts):
-        return rows.select(*rest, F.when(F.col("_problem").isNull(), shown).alias("metadata"), F.when(F.col("_problem").isNull(), C.steps(detection)).otherwise(F.array().cast(STEPS)).alias("pipeline"), null("string").alias("text"), null(PARTS).alias("parts"), F.col("_problem").cast(ERROR).alias("error"))
-
-    live = F.col("_problem").isNull()
-    rows = rows.withColumn("_route", F.when(live, route(F.col("metadata.mime_type"), F.col("metadata.is_text"))))
-    direct = F.col("_route").isin("markup", "plain")
-    utf8 = F.when(direct, is_utf8(F.col("content")))
-    rows = rows.withColumn("_utf8", utf8).withColumn("_direct", extracted_text(F.when(direct & F.col("_utf8"), F.col("content").cast("string")), F.coalesce(F.col("_route") == "markup", F.lit(False))))
-    boxed = F.when(F.col("_route").isin("pdf", "office", "epub"), F.col("content"))
-    rows = rows.withColumn("_boxed", F.pandas_udf(_archive, "struct<text:string,pages:array<string>,fault:string,ms:bigint>")(F.coalesce(mime_extension(F.col("metadata.mime_type")), F.lit("")), boxed))
-    rows = recognised(rows.withColumn("_image", F.when(F.col("_route") == "image", F.col("content"))), config.ocr, "_image", "_page")
+        live = F.coalesce(F.length("content") > 0, F.lit(False))
+        return rows.select(*rest, F.when(live, shown).alias("metadata"), F.when(live, F.array(detection)).otherwise(nothing).alias("pipeline"), null("string").alias("text"), null(PARTS).alias("parts"), problem.alias("error"))
+
+    rows = rows.withColumn("_size", F.length("content"))
+    rows = rows.withColumn("_route", F.when(F.col("_size") > 0, route(F.col("mime_type"), F.col("is_text"))))
+    direct, boxed = F.col("_route").isin("markup", "plain"), F.col("_route").isin("pdf", "office", "epub", "image")
+    rows = rows.withColumn("_text", F.when(direct & is_utf8(F.col("content")), F.col("content").cast("string")))
+    rows = rows.withColumn("_read", _reader(config.ocr)("_route", mime_extension(F.col("mime_type")), F.when(boxed, F.col("content"))))
+    rows = rows.drop("content").withColumn("_marked", markup_text(F.when(F.col("_route") == "markup", F.col("_text"))))
+    fault = F.when(direct & F.col("_text").isNull(), "invalid UTF-8").otherwise(F.coalesce("_read.fault", "_marked.fault"))
+    rows = rows.withColumn("_fault", fault).withColumn("_text", F.when(F.col("_route") == "markup", F.col("_marked.text")).when(F.col("_route") == "plain", F.col("_text")).otherwise(F.col("_read.text")))
 
     engine = F.try_element_at(_map(ENGINES), F.col("_route"))
-    fault = F.when(direct, F.when(~F.col("_utf8"), "invalid UTF-8").otherwise(F.col("_direct.fault"))).when(F.col("_route") == "image", F.col("_page.fault")).otherwise(F.col("_boxed.fault"))
-    failed = F.when(~live, F.col("_problem")).when(F.col("_route") == "unsupported", error("UnsupportedFileType", None, F.col("metadata.mime_type"))).when(fault.isNotNull(), F.struct(F.lit("ExtractionEngine").alias("kind"), engine.alias("engine"), fault.alias("message")).cast(ERROR))
-    page_parts = F.transform(F.col("_boxed.pages"), lambda t, i: C.part(i.cast("bigint"), F.lit("text"), t, C.provenance(page=(i + 1).cast("bigint"))))
-    ocr_parts = F.transform(F.col("_page.page.blocks"), lambda b, i: C.part(i.cast("bigint"), F.lit("text"), b["text"], C.provenance(bbox=b["bbox"], confidence=b["confidence"])))
-    canonical = F.when(direct, F.col("_direct.text")).otherwise(F.col("_boxed.text"))
-    parts = F.when(F.col("_route") == "image", C.without_blank_parts(ocr_parts)).when(F.col("_route") == "pdf", C.without_blank_parts(page_parts)).otherwise(C.single_part(canonical))
-    rows = rows.withColumn("_error", failed).withColumn("_canonical", canonical).withColumn("_parts", parts.cast(PARTS))
-    rows = rows.withColumn("_parts", F.when((F.col("_route") == "pdf") & (F.size("_parts") == 0), C.single_part(F.col("_canonical"))).otherwise(F.col("_parts")))
-
-    n, has = F.size("_parts"), C.has_text(F.col("_canonical"), F.col("_parts")).cast("int")
-    ms = F.when(F.col("_route") == "image", F.col("_page.ms")).otherwise(F.coalesce(F.col("_boxed.ms"), F.lit(0)))
-    work = (
-        F.when(F.col("_route") == "pdf", C.step("parsing", engine, {"pages": F.size("_boxed.pages"), "parts": n}, ms))
-        .when(F.col("_route") == "office", C.step("parsing", engine, {"parts": n}, ms))
-        .when(F.col("_route") == "image", C.step("recognition", engine, {"texts": n}, ms))
-        .otherwise(C.step("parsing", engine, {"parts": n, "texts": has}, ms))
+    failed = (
+        F.when(F.col("_size").isNull(), error("Io", None, "content can't be read"))
+        .when(F.col("_size") == 0, error("NoContents", None, "document has no contents"))
+        .when(F.col("_route") == "unsupported", error("UnsupportedFileType", None, F.col("mime_type")))
+        .when(F.col("_fault").isNotNull(), F.struct(F.lit("ExtractionEngine").alias("kind"), engine.alias("engine"), F.col("_fault").alias("message")))
+    )
+    rows = rows.withColumn("error", failed)
+    n = F.when(F.col("_read.parts").isNotNull(), F.size("_read.parts")).when(F.col("_route") == "image", 0).otherwise(1)
+    ms, way = F.coalesce("_read.ms", F.lit(0).cast("bigint")), F.col("_route")
+    counts = (
+        F.when(way == "pdf", F.create_map(F.lit("pages"), F.col("_read.pages"), F.lit("parts"), n.cast("bigint")))
+        .when(way == "office", F.create_map(F.lit("parts"), n.cast("bigint")))
+        .when(way == "image", F.create_map(F.lit("texts"), n.cast("bigint")))
+        .otherwise(F.create_map(F.lit("parts"), n.cast("bigint"), F.lit("texts"), F.col("_text").isNotNull().cast("bigint")))
     )
-    audit = C.steps(detection, work)
-    good = F.col("_error").isNull()
+    work = F.struct(F.when(way == "image", "recognition").otherwise("parsing").alias("step"), engine.alias("engine"), ms.alias("duration_ms"), counts.alias("outputs"))
+    good = F.col("error").isNull()
+    parts = F.coalesce("_read.parts", F.when(way != "image", C.single_part(F.col("_text"))).otherwise(F.array().cast(PARTS)))
     return rows.select(
-        *rest, F.when(live, shown).alias("metadata"), F.when(good, audit).otherwise(F.array().cast(STEPS)).alias("pipeline"),
-        (F.when(good, C.canonical_text(F.col("_canonical"), F.col("_parts"))) if config.content else null("string")).alias("text"),
-        (F.when(good, F.col("_parts")) if config.parts else null(PARTS)).alias("parts"), F.col("_error").cast(ERROR).alias("error"),
+        *rest, F.when(F.col("_size") > 0, shown).alias("metadata"), F.when(good, F.array(detection, work)).otherwise(nothing).alias("pipeline"),
+        (F.when(good, F.col("_text")) if config.content else null("string")).alias("text"), (F.when(good, parts) if config.parts else null(PARTS)).alias("parts"), "error",
     )
 
 
