@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,26 +16,37 @@ from .ocr import decoded
 RAW = "struct<width:int,height:int,logits:array<array<float>>,boxes:array<array<float>>,orders:array<int>,fault:string>"
 
 
-def layout_blocks(logits: Column, boxes: Column, orders: Column, width: Column, height: Column, least: float = 0.5, most: int = 300, overlap: float | None = None) -> Column:
-    """The page's blocks in reading order from a model's raw outputs. overlap: drops what overlaps a better one by more."""
-    found = G.layout_candidates(logits, boxes, orders, width, height, least, most)
-    if overlap is not None:
+def layout_blocks(raw: Column, least: float = 0.5, most: int = 300) -> Column:
+    """The page's blocks, in reading order, from a struct of a model's raw outputs."""
+    found = G.layout_candidates(raw["logits"], raw["boxes"], raw["orders"], raw["width"], raw["height"], least, most)
+    block = lambda d: F.struct(d["label"].alias("label"), d["score"].alias("confidence"), G.extent_box(d["left"], d["top"], d["right"], d["bottom"]).alias("bbox"), d["order"].alias("order"))
+    return F.transform(G.in_reading_order(found), block)
 
-        def kept(edges: pd.Series) -> pd.Series:
-            import numpy as np
 
-            return edges.map(lambda e: G.suppressed(np.array([list(x) for x in e], float).reshape(-1, 4), overlap))
+def surviving(logits: np.ndarray, boxes: np.ndarray, width: int, height: int, least: float, most: int, overlap: float) -> np.ndarray:
+    """logits with those of detections at minus infinity that overlap a better one by more than ``overlap``.
 
-        best = lambda d: F.struct((-d["score"]).alias("s"), d["top"].alias("t"), d["left"].alias("l"), d["bottom"].alias("b"), d["right"].alias("r"), d["label"].alias("n"), d["order"].alias("o"), d.alias("d"))
-        found = F.transform(F.array_sort(F.transform(found, best)), lambda x: x["d"])
-        edges = F.transform(found, lambda d: F.array(d["left"], d["top"], d["right"], d["bottom"]))
-        found = F.transform(F.pandas_udf(kept, "array<int>")(edges), lambda i: F.get(found, i))
-    block = lambda d: F.struct(d["label"].alias("label"), d["score"].alias("confidence"), G.extent_box(d["left"], d["top"], d["right"], d["bottom"]).alias("bbox"), d["order"].alias("order"))
-    return F.transform(G.in_reading_order(found), block)
+    What is dropped depends on what was kept before, so it is done here, where the page's detections are together.
+    """
+    score = (1 / (1 + np.exp(-logits.astype(np.float64)))).astype(np.float32)
+    p, c = np.nonzero(score >= least)
+    order = np.lexsort((c, p, -score[p, c]))[:most]
+    p, c = p[order], c[order]
+    edges = np.concatenate([boxes[p, :2] - boxes[p, 2:] / 2, boxes[p, :2] + boxes[p, 2:] / 2], axis=1) * np.array([width, height, width, height])
+    edges = np.clip(edges, 0, [width, height, width, height])
+    names = np.array([G.LAYOUT_LABELS[i] if i < len(G.LAYOUT_LABELS) else str(i) for i in c])
+    order = np.lexsort((names, edges[:, 2], edges[:, 3], edges[:, 0], edges[:, 1], -score[p, c]))
+    kept = order[G.suppressed(edges[order], overlap)]
+    out = np.full_like(logits, -np.inf)
+    out[p[kept], c[kept]] = logits[p[kept], c[kept]]
+    return out
 
 
 def detect_layout(images: DataFrame, model: LayoutModel, least: float = 0.5, most: int = 300, overlap: float | None = None) -> DataFrame:
-    """images (content, ...) with page and fault; content is dropped. The network runs in Python, its outputs are decoded in the JVM."""
+    """images (content, ...) with page and fault; content is dropped. The network runs in Python, its outputs are decoded in the JVM.
+
+    overlap: drops what overlaps a better detection by more.
+    """
 
     def run(content: pd.Series) -> pd.DataFrame:
         rows = []
@@ -44,6 +56,8 @@ def detect_layout(images: DataFrame, model: LayoutModel, least: float = 0.5, mos
                 try:
                     pixels = decoded(x)
                     logits, boxes, order = loaded(model).run(I.layout_input(pixels))
+                    if overlap is not None:
+                        logits = surviving(logits, boxes, pixels.shape[1], pixels.shape[0], least, most, overlap)
                     row = (pixels.shape[1], pixels.shape[0], logits.tolist(), boxes.tolist(), G.order_ranks(order).tolist(), None)
                 except ValueError as e:
                     row = (None, None, None, None, None, str(e))
@@ -52,6 +66,5 @@ def detect_layout(images: DataFrame, model: LayoutModel, least: float = 0.5, mos
 
     rest = [c for c in images.columns if c != "content"]
     raw = images.withColumn("_raw", F.pandas_udf(run, RAW)("content"))
-    blocks = layout_blocks(F.col("_raw.logits"), F.col("_raw.boxes"), F.col("_raw.orders"), F.col("_raw.width"), F.col("_raw.height"), least, most, overlap)
-    page = F.struct(F.col("_raw.width").alias("width"), F.col("_raw.height").alias("height"), blocks.alias("blocks")).cast(LAYOUT_PAGE)
+    page = F.struct(F.col("_raw.width").alias("width"), F.col("_raw.height").alias("height"), layout_blocks(F.col("_raw"), least, most).alias("blocks")).cast(LAYOUT_PAGE)
     return raw.select(*rest, F.when(F.col("_raw.width").isNotNull(), page).alias("page"), F.col("_raw.fault").alias("fault"))

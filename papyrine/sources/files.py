@@ -54,7 +54,8 @@ def read_directory(spark: SparkSession, root: str, rules: list[str] | None = Non
     """path, relative, modificationTime, length, content of the files under root that no rule ignores.
 
     rules are the lines of an ignore file at the root; where none are given they are read from ``.ignore`` and
-    ``.gitignore`` there. Rows aren't sorted: sort a result by path where its order shows.
+    ``.gitignore`` there. Rows aren't sorted: sort a result by path where its order shows. Spark's readers also skip names with a
+    leading underscore.
     """
     if rules is None:
         rules = [line for name in (".gitignore", ".ignore") for line in _lines(spark, f"{root.rstrip('/')}/{name}")]
@@ -70,7 +71,11 @@ def _lines(spark: SparkSession, path: str) -> list[str]:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return []
-    return [r[0] for r in spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.col("content").cast("string"), "\n"))).collect()]
+    stream = fs.open(p)  # Spark's readers skip names with a leading dot
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
 
 
 def checked(files: DataFrame) -> DataFrame:
