@@ -2,11 +2,15 @@
 
 A set of files is two Parquet tables, so that any store that Spark writes to can hold it and a lost task's
 half-written rows never count: ``codebook`` (one row: the code length of each id) and ``blocks``
-(part, seq, n_tokens, block). A block holds whole documents and can be decoded alone; its bytes are
+(part, seq, before, n_tokens, block; before: the ids of the part's earlier blocks). A block holds whole documents and
+can be decoded alone; its bytes are
 
-    b"PTB1", interval u32, documents u64, tokens u64, bits u64,
+    b"PTB2", interval u32, documents u64, tokens u64, bytes of code u64,
     doc ids i64[documents], doc id present u8[documents], tokens of each u64[documents],
-    bit offset of every interval-th token u64[ceil(tokens / interval)], code bits from the highest on
+    bit offset of every interval-th token of each document u64[sum of ceil(tokens / interval)],
+    code bits from the highest on; each document begins with a byte
+
+Documents are coded before they are sorted, so that what is shuffled is as small as the files.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import new_path, stored
-from .tokens import encoder
+from .tokens import encoder, vocabulary
 
 HEAD = struct.Struct("<4sIQQQ")
 INTERVAL, BLOCK = 64, 1 << 16
+BLOCKS = "part int, seq long, before long, n_tokens long, block binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = 16) -> np.ndarray:
@@ -79,26 +84,31 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, bits, top
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, int, np.ndarray]:
-    """Code bits, their number, and the bit offset of every INTERVAL-th id."""
+def pack(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Code bits of documents of ``sizes`` ids, where each document's bytes end, and each id's bit offset in its document."""
     if not len(ids):
-        return b"", 0, np.zeros(0, np.uint64)
+        return b"", np.zeros(len(sizes), np.int64), np.zeros(0, np.int64)
     n = lengths[ids].astype(np.int64)
-    off = np.cumsum(n) - n
-    total = int(off[-1] + n[-1])
+    upto = np.concatenate([[0], np.cumsum(n)])
+    last = np.cumsum(sizes)
+    bits = upto[last] - upto[last - sizes]
+    ends = np.cumsum((bits + 7) // 8)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    within = upto[:-1] - upto[(last - sizes)[doc]]
+    off = within + 8 * (ends - (bits + 7) // 8)[doc]
     word, room = off >> 6, 64 - (off & 63) - n
     c = codes[ids].astype(np.uint64)
     here = np.where(room >= 0, c << np.maximum(room, 0).astype(np.uint64), c >> np.maximum(-room, 0).astype(np.uint64))
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    words = np.zeros(total // 64 + 2, np.uint64)
+    words = np.zeros(int(ends[-1]) // 8 + 2, np.uint64)
     words[word[first]] = np.add.reduceat(here, first)
     over = np.flatnonzero(room < 0)
     words[word[over] + 1] += c[over] << (64 + room[over]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: (total + 7) // 8], total, off[::INTERVAL].astype(np.uint64)
+    return words.astype(">u8").tobytes()[: int(ends[-1])], ends, within
 
 
-def unpack(bits: bytes, marks: np.ndarray, tokens: int, interval: int, table: tuple) -> np.ndarray:
-    """All ids of a block: the stretches between bit offsets are decoded side by side."""
+def unpack(bits: bytes, marks: np.ndarray, tokens: np.ndarray, interval: int, table: tuple) -> np.ndarray:
+    """The ids of stretches of ``tokens`` ids that begin at the bit offsets; they are decoded side by side."""
     ids, size, top = table
     b = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)
     w = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
@@ -107,57 +117,64 @@ def unpack(bits: bytes, marks: np.ndarray, tokens: int, interval: int, table: tu
         seen = (w[np.minimum(pos >> 3, most)] >> (32 - (pos & 7) - top).astype(np.uint32)) & np.uint32((1 << top) - 1)
         out[k] = ids[seen]
         pos += size[seen]
-    return out.T.reshape(-1)[:tokens]
+    return out.T[np.arange(interval) < tokens[:, None]]
 
 
-def block_bytes(doc_ids: list, texts: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    ids = np.concatenate(texts)
-    bits, total, marks = pack(ids, codes, lengths)
+def block_bytes(doc_ids: list, sizes: list[int], widths: list[bytes], coded: list[bytes]) -> bytes:
+    """A block of documents: their numbers of ids, bits between checkpoints (u16) and code."""
+    starts = 8 * np.concatenate([[0], np.cumsum([len(x) for x in coded])])[:-1]
+    marks = [s + np.concatenate([[0], np.cumsum(np.frombuffer(w, "<u2"), dtype=np.int64)]) for s, w, n in zip(starts, widths, sizes, strict=True) if n]
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    return b"".join([HEAD.pack(b"PTB1", INTERVAL, len(doc_ids), len(ids), total), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), np.array([len(t) for t in texts], "<u8").tobytes(), marks.astype("<u8").tobytes(), bits])
+    head = HEAD.pack(b"PTB2", INTERVAL, len(doc_ids), sum(sizes), sum(map(len, coded)))
+    return b"".join([head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), np.array(sizes, "<u8").tobytes(), *[m.astype("<u8").tobytes() for m in marks], *coded])
 
 
 def read_block(block: bytes, table: tuple) -> tuple[list, list[np.ndarray]]:
     """Document ids and each one's token ids."""
-    magic, interval, docs, tokens, total = HEAD.unpack_from(block)
-    if magic != b"PTB1":
+    magic, interval, docs, _, size = HEAD.unpack_from(block)
+    if magic != b"PTB2":
         raise ValueError("not a token block")
     at = HEAD.size
     parts = []
-    for kind, n in (("<i8", docs), ("u1", docs), ("<u8", docs), ("<u8", -(-tokens // interval))):
-        parts.append(np.frombuffer(block, kind, n, at))
+    for kind, n in (("<i8", lambda: docs), ("u1", lambda: docs), ("<u8", lambda: docs), ("<u8", lambda: int(per.sum()))):
+        parts.append(np.frombuffer(block, kind, n(), at))
         at += parts[-1].nbytes
-    ids = unpack(block[at : at + (total + 7) // 8], parts[3], tokens, interval, table)
-    ends = np.cumsum(parts[2]).astype(np.int64)
-    return [int(d) if k else None for d, k in zip(parts[0], parts[1], strict=True)], np.split(ids, ends[:-1]) if docs else []
+        per = -(-parts[-1].astype(np.int64) // interval)  # checkpoints of each document, once its tokens are read
+    sizes = parts[2].astype(np.int64)
+    per = -(-sizes // interval)
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    ids = unpack(block[at : at + size], parts[3], np.minimum(interval, np.repeat(sizes, per) - interval * place), interval, table)
+    return [int(d) if k else None for d, k in zip(parts[0], parts[1], strict=True)], np.split(ids, np.cumsum(sizes)[:-1]) if docs else []
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id and the ids of each whole text with the end id, as little-endian u32.
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, str]:
+    """doc_id and the ids of each whole text with the end id, and the ids' kind: u16 where the vocabulary allows it, else u32.
 
     tokenizer is the driver's path of a file of the tokenizers library; executors get its content.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    spec = docs.sparkSession.sparkContext.broadcast(content)
+    kind = "<u2" if max(vocabulary(content), end_id + 1) <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(spec.value), np.uint32(end_id).tobytes()
+        e, end = encoder(spec.value), np.array([end_id], kind).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u4").tobytes() + end for x in e.encode(part.column(1))], pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(kind).tobytes() + end for x in e.encode(part.column(1))], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary"), kind
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents; as many numbers as the vocabulary has ids."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                x = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(i, 256).to_pylist()), "<u4"))
+                x = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(i, 256).to_pylist()), kind))
                 if len(x) > len(total):
                     x, total = total, x
                 total[: len(x)] += x
@@ -171,44 +188,55 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def write_blocks(tokens: DataFrame, path: str, limit: int = 16, block: int = BLOCK) -> None:
+def write_blocks(tokens: DataFrame, kind: str, path: str, limit: int = 16, block: int = BLOCK) -> None:
     """Writes the files of a (doc_id, ids) table in ascending doc_id order, rows without an id first."""
     spark = tokens.sparkSession
-    lengths = code_lengths(count_ids(tokens), limit)
+    lengths = code_lengths(count_ids(tokens, kind), limit)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, part, seq = canonical(lengths), TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        codes = canonical(lengths)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [np.frombuffer(x.as_py(), kind) for x in part.column(1)]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                code, ends, within = pack(np.concatenate(texts).astype(np.int64), sizes, codes, lengths)
+                begin, first = ends - np.diff(ends, prepend=0), np.cumsum(sizes) - sizes
+                widths = [np.diff(within[f : f + n : INTERVAL]).astype("<u2").tobytes() for f, n in zip(first, sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(widths, pa.binary()), pa.array([code[b:e] for b, e in zip(begin, ends, strict=True)], pa.binary())], ["doc_id", "n", "widths", "code"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+        size = 0
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([size], pa.int64()), pa.array([block_bytes(ids, texts, codes, lengths)], pa.binary())], ["part", "seq", "n_tokens", "block"])
+            own = block_bytes(*map(list, zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([own], pa.binary())], ["part", "seq", "before", "n_tokens", "block"])
 
         for batch in batches:
-            own, col = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(col[i].as_py(), "<u4")
-                ids.append(own[i])
-                texts.append(x)
-                size += len(x)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                held.append(row)
+                size += row[1]
                 if size >= block:
                     yield made()
-                    ids, texts, size, seq = [], [], 0, seq + 1
-        if ids:
+                    held, seq, before, size = [], seq + 1, before + size, 0
+        if held:
             yield made()
 
-    rows = tokens.select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    rows.mapInArrow(encode, "part int, seq long, n_tokens long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    rows = tokens.select("doc_id", "ids").mapInArrow(encode, "doc_id long, n long, widths binary, code binary")
+    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "code")
+    rows.mapInArrow(gather, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids (little-endian u32) of each document in the files."""
     lengths = np.frombuffer(bytes(spark.read.parquet(f"{path}/codebook").first()[0]), np.uint8)
-    blocks = spark.read.schema("part int, seq long, n_tokens long, block binary").parquet(f"{path}/blocks")
-    # a block's place within its part: each part's blocks are few and were written by one task; the parts are as many as tasks
-    spot = blocks.select("part", "seq", "n_tokens").withColumn("before", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens"))
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    # one row for each task that wrote blocks: so few that they fit in one task and can be sent to all
     base = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    begin = stored(spot.join(base, "part").select("part", "seq", (F.col("before") + F.col("base")).alias("begin")), "begin")
+    base = stored(base.select("part", "base"), "begin")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
@@ -219,7 +247,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                 start = batch.column(0)[i].as_py() + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array([t.astype("<u4").tobytes() for t in texts], pa.binary())], ["doc_id", "start", "ids"])
 
-    return blocks.join(begin, ["part", "seq"]).select("begin", "block").mapInArrow(decode, "doc_id long, start long, ids binary")
+    placed = blocks.join(F.broadcast(base), "part").select((F.col("before") + F.col("base")).alias("begin"), "block")
+    return placed.mapInArrow(decode, "doc_id long, start long, ids binary")
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -237,10 +266,11 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | No
     """Writes the ids of every whole text of docs (doc_id, text, ...) to files at path; returns what is read back.
 
     A null text counts as empty: its document is the end id alone. Documents are ordered by doc_id, those
-    without one first; rows that repeat an id stay, ordered by their ids' bytes. Other columns are not read.
+    without one first; rows that repeat an id stay, ordered by their number of ids and their code. Other columns are not read.
     An empty table gives files without blocks. Memory follows one block and the longest text.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
-    write_blocks(stored(tokenized(docs, tokenizer, end_id), "tokens"), path, limit, block)
+    tokens, kind = tokenized(docs, tokenizer, end_id)
+    write_blocks(stored(tokens, "tokens", compression="zstd"), kind, path, limit, block)
     return read_blocks(spark, path)

@@ -31,6 +31,13 @@ def encoder(spec: str) -> "Encoder":
     return _open[spec]
 
 
+def vocabulary(spec: str) -> int:
+    """One more than the highest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_str(spec).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
 class Encoder:
     def __init__(self, spec_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
