@@ -1,0 +1,255 @@
+"""The ten operators and the pipeline: against SQL, brute force, the tokenizer or held-out labels; odd tables."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from papyrine.llm import chat, decontamination, language_id, mixing, near_dedup, pii, quality, secrets, token_blocks, topk
+from papyrine.llm import queries as Q
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the quick brown fox jumps over a lazy dog while seven wise owls watch from an old oak tree near our quiet river".split()
+
+
+def documents(spark, n=40):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        text = " ".join(rng.choice(WORDS, int(rng.integers(1, 90))))
+        rows.append((i, text, ["en", "fr"][i % 2], "abc"[i % 3], len(text)))
+    rows += [(100, rows[3][1], "en", "a", 1), (101, rows[5][1] + " end", "en", None, 1), (102, None, None, None, None), (103, "", "en", "a", 0), (104, " \t\n", "fr", "b", 3), (105, "one two", "en", "c", 7), (106, "One TWO", "en", "c", 7), (107, "12 !!", "en", "c", 5), (108, "x " * 30_000, "en", "a", 60_000)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def odd(spark):
+    """Nulls everywhere, repeated rows and ids, extra columns with the names of inner ones."""
+    rows = [(None, None, None, None, None), (None, "no id here at all", "en", "a", 3), (1, "same same same same text", "en", "a", 3), (1, "same same same same text", "en", "a", 3), (1, "other text for this id", "fr", None, 3), (2, "", None, "", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    for c in ("key", "size", "before", "copies", "h", "d1", "d2", "comp", "part", "seq", "n", "ids", "m", "gaps", "kind", "pii_id", "position", "mix_id", "block", "score"):
+        d = d.withColumn(c, F.lit("clash"))
+    return d
+
+
+OPERATORS = {
+    "decontamination": lambda s, d: decontamination.leaks(d, s.createDataFrame([(1, "same same same same text"), (None, None), (2, "")], "item_id long, text string")),
+    "language": lambda s, d: language_id.fit_and_identify(d),
+    "mixing": lambda s, d: mixing.mix(d),
+    "mixed": lambda s, d: mixing.mixed_documents(d),
+    "tokens": lambda s, d: token_blocks.digests(token_blocks.token_files(d, Q.tokenizer_path(), Q.END_ID)),
+    "quality": lambda s, d: quality.score(d, quality.fit(d)),
+    "near": lambda s, d: near_dedup.near_duplicates(d),
+    "pii": lambda s, d: pii.with_surrogates(d),
+    "secrets": lambda s, d: secrets.scan(d, [({}, {1: 0.5})]),
+    "chat": lambda s, d: chat.chat_documents(d.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", "key", "i", "n", "chunk") if "i" in d.columns else d.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text")),
+    "topk": lambda s, d: topk.top_k(d.select(F.col("doc_id").alias("vec_id"), F.when(F.col("text") != "", F.array(F.col("n_chars").cast("float"))).alias("embedding"))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_and_empty_tables(name, spark):
+    d = odd(spark)
+    got = OPERATORS[name](spark, d).collect()
+    if name in ("language", "mixing", "tokens", "quality", "near", "pii"):
+        assert len(got) == 6
+    assert OPERATORS[name](spark, d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_agrees_with_sql(name, agrees):
+    assert agrees(Q.QUERIES[name], Q.ORACLE_SQL[name]) > 0
+
+
+def shingles(text, n):
+    w = (text or "").translate({i: i + 32 for i in range(65, 91)}).split(None) if text else []
+    w = [x for x in w if x]
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 85), (5, 80)])
+def test_near_duplicates_by_brute_force(n, num, spark):
+    rows = documents(spark, 60).collect()
+    rng, base = np.random.default_rng(1), list(np.random.default_rng(2).choice(WORDS, 200))
+    more = []
+    for i in range(30):  # a chain of edits
+        base[int(rng.integers(200))] = f"w{i}"
+        more.append((200 + i, " ".join(base)))
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + more, "doc_id long, text string")
+    sets = {r.doc_id: shingles(r.text, n) for r in docs.collect()}
+    root = {k: k for k in sets}
+    ids = sorted(sets)
+    for _ in ids:
+        for i in ids:
+            for j in ids:
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= num * len(sets[i] | sets[j]) and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = {k: low if v == high else v for k, v in root.items()}
+        break
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs, n, num, 100).collect()}
+    assert {k: (r.component_id, r.n_shingles, r.kept) for k, r in got.items()} == {k: (root[k], len(sets[k]), root[k] == k) for k in ids}
+
+
+def score(item, text):
+    last, best = [0] * (len(text) + 1), 0
+    for a in item:
+        now = [0]
+        for j, b in enumerate(text):
+            now.append(max(0, last[j] + (2 if a == b else -1), last[j + 1] - 1, now[j] - 1))
+        last, best = now, max(best, *now)
+    return best / (2 * len(item))
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [list(rng.choice(vocab, 20)) for _ in range(6)]
+    texts = [list(rng.choice(vocab, 60)) for _ in range(12)]
+    texts[0][10:30] = items[0]
+    texts[1][5:25] = [w if i % 7 else "zz" for i, w in enumerate(items[1])]
+    texts[2][0:18] = items[2][:9] + items[2][11:]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t).upper() + ".") for i, t in enumerate(items)], "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(texts) for i, it in enumerate(items) if score(it, t) >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == want
+    assert {(0, 0), (1, 1), (2, 2)} <= want
+    assert all(abs(s - score(items[i], texts[d])) < 1e-9 for (d, i), s in got.items())
+    kept = {r.doc_id for r in decontamination.clean_documents(docs, bench).collect()}
+    assert kept == set(range(12)) - {d for d, _ in want}
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.fit_and_identify(docs).join(docs, "doc_id")
+    own = got.filter("held_out and lang is not null and lang_pred <> 'und'").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("lang_pred")).alias("good")).first()
+    assert own.n > 200
+    assert own.good >= 0.95 * own.n
+    for r in language_id.fit_and_identify(documents(spark)).filter("doc_id in (102, 103, 104, 107)").collect():
+        assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert [r.held_out for r in spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", language_id.held_out().alias("held_out")).orderBy("doc_id").collect()] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)]
+
+
+def test_mixing_meets_targets(spark):
+    docs = documents(spark, 90)
+    got = mixing.mix(docs).collect()
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+        assert all(r.taken <= 2 * r.size for r in own)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
+    assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got)
+
+
+def test_token_files_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(Q.tokenizer_path())
+    extra = [(300, "naïve ŧext 日本語 <|endoftext|> it's  \n\n x"), (301, "'s 's'll  \t a"), (-5, "negative id")]
+    docs = documents(spark).select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = {r.doc_id: r for r in token_blocks.token_files(docs, Q.tokenizer_path(), 2, block=500).collect()}
+    at = 0
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 2]
+        assert (got[r.doc_id].start, np.frombuffer(got[r.doc_id].ids, "<u4").tolist()) == (at, ids)
+        at += len(ids)
+
+
+def test_code_lengths_are_optimal():
+    counts = np.array([5, 9, 12, 13, 16, 45, 0])
+    n = token_blocks.code_lengths(counts)
+    assert int((n.astype(int) * counts).sum()) == 224
+    assert token_blocks.code_lengths(counts, 3).max() == 3
+    wide = token_blocks.code_lengths(2 ** np.arange(40), 12)
+    assert wide.max() == 12
+    assert sum(0.5 ** int(x) for x in wide) <= 1
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(0)
+    y, acc = rng.random(20_000) < 0.6, np.array([0.9, 0.8, 0.7, 0.85])
+    v = np.where(rng.random((20_000, 4)) < acc, y[:, None], ~y[:, None]).astype(int)
+    p, n = np.unique(v, axis=0, return_counts=True)
+    m = quality.fit_labels(p, n.astype(float))
+    assert np.allclose(m.accuracy(), acc, atol=0.05)
+    assert ((m.posterior(v) > 0.5) == y).mean() > 0.9
+
+
+def test_quality_against_labels(spark):
+    root = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    rows = quality.score(docs, quality.fit(docs)).join(labels, "doc_id").filter("quality is not null").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([np.mean([(g > b) + 0.5 * (g == b) for b in bad]) for g in good]) > 0.7
+
+
+def test_top_k_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    v = np.floor(256 * rng.normal(size=(120, 6)).astype(np.float32).astype(float))
+    v[10:20] = v[0]
+    rows = [(i, [float(x) / 256 for x in r]) for i, r in enumerate(v)] + [(150, None), (200, [float("nan")] * 6), (250, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = {}
+    for q in (0, 50, 100):
+        s = v @ v[q]
+        for k, i in enumerate(sorted((i for i in range(120) if i != q), key=lambda i: (-s[i], i))[:5]):
+            want[q, k + 1] = (i, int(s[i]))
+    assert got == want
+
+
+def test_surrogates(spark):
+    a = "Mr Adam Smith wrote to adam@smith.example.com from 10.20.30.40, then Mr Adam Smith called +1 555 123 4567."
+    b = "ADAM@SMITH.EXAMPLE.COM and Frau Anna Smith; 123-45-6789, 4111 1111 1111 1111 and 4111111111111111."
+    got = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame([(1, a), (2, b), (3, "nothing 12 here"), (4, None)], "doc_id long, text string")).collect()}
+    assert [got[i].n_entities for i in (1, 2, 3, 4)] == [5, 5, 0, 0]
+    for s in ("Adam", "adam@", "10.20.30.40", "555 123", "123-45", "4111", "ADAM", "Anna"):
+        assert s not in got[1].text + got[2].text
+    names = got[1].text.split("Mr ")[1].split(" wrote")[0]
+    assert got[1].text.count(f"Mr {names}") == 2
+    assert names.split()[1] in got[2].text
+    cards = got[2].text.rsplit(", ", 1)[1].rstrip(".").split(" and ")
+    assert cards[0].replace(" ", "") == cards[1]
+    assert got[3].text == "nothing 12 here"
+
+
+def test_every_entity_has_a_sign(spark):
+    hits = ["a@b.cd", "1.1.1.1", "123-45-6789", "(12) 345-6789", "+1 23 45", "123.456.7890", "4111-1111-1111-1", "1234567890123", "DE89370400440532013000", "M. Ab", "Prof Xy"]
+    d = spark.createDataFrame([(h,) for h in hits], "t string")
+    r = d.select(F.count_if(F.col("t").rlike(pii.ENTITY)).alias("e"), F.count_if(F.col("t").contains("@") | F.col("t").rlike(pii.SIGN)).alias("s")).first()
+    assert (r.e, r.s) == (len(hits), len(hits))
+
+
+def test_secret_forest_held_out(spark):
+    found = secrets.labelled_findings(spark)
+    forest = secrets.train(found.filter("doc_id % 4 <> 0"))
+    test = found.filter("doc_id % 4 = 0")
+    rows = secrets.scan(test, forest, path="path").join(test.select("doc_id", F.col("is_secret").alias("y")), "doc_id").collect()
+    assert len(rows) > 300
+    assert np.mean([r.is_secret == r.y for r in rows]) > 0.95
+
+
+def test_language_filter_grams_cross_slices():
+    col = pa.array(["ab cd", None, "é" * 10])
+    assert [int(per.sum()) for _, _, per in language_id._grams(col, 3)] == [3 + 9]
+
+
+def test_pipeline_keeps_clean_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    d = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, d = d, stage(spark, d, sf).cache()
+        assert d.columns == docs.columns, name
+        ids, was = ({r.doc_id for r in x.select("doc_id").collect()} for x in (d, before))
+        assert ids <= was
+        if name == "near_dedup":
+            assert ids == {r.doc_id for r in near_dedup.near_duplicates(before).filter("kept").collect()}
+        if name == "decontamination":
+            assert was - ids == {r.doc_id for r in decontamination.leaks(before, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+        if name == "mixing":
+            assert d.count() == mixing.mix(before).agg(F.sum("copies")).first()[0]
+    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
