@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find the places, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find the places, Smith-Waterman alignment scores them.
 
-The test items are split into blocks of bounded size; for each block, all documents are read twice: once to
-count how often each of the items' word n-grams occurs, once to align items where one of their rare n-grams
-occurs. An item's rare n-grams are its own least frequent ones, so an item that has leaked into very many
-documents still has some.
+The test items are split into blocks of bounded size; for each block, all documents are read once, and an item
+is aligned wherever any of its word n-grams occurs. None is left out: what an edit leaves of an item may be its
+most common n-grams, as those that the edit destroyed are the rarest. Places that hold too few of the item's
+words for the least score are passed over before the alignment.
 """
 
 from __future__ import annotations
@@ -48,27 +48,16 @@ class Seeds:
         self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         self.keys, self.key = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_inverse=True)
-        self.choose(np.ones(len(self.key), bool))
-
-    def choose(self, used: np.ndarray) -> None:
-        order = np.flatnonzero(used)[np.argsort(self.key[used], kind="stable")]
-        self.order, self.first = order, np.searchsorted(self.key[order], np.arange(len(self.keys) + 1))
-        live = np.unique(self.key[order])
+        self.order = np.argsort(self.key, kind="stable")
+        self.first = np.searchsorted(self.key[self.order], np.arange(len(self.keys) + 1))
         self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.keys[live] >> T.U(44)).astype(np.int64)] = True
-
-    def rare(self, counts: np.ndarray, part: float, least: int) -> None:
-        used = np.zeros(len(self.key), bool)
-        for i in range(len(self.items)):
-            own = np.flatnonzero(self.item == i) if len(self.items) < 4096 else np.arange(*np.searchsorted(self.item, [i, i + 1]))
-            used[own[np.argsort(counts[self.key[own]], kind="stable")[: max(least, int(np.ceil(part * len(own))))]]] = True
-        self.choose(used)
+        self.sieve[(self.keys >> T.U(44)).astype(np.int64)] = True
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in grams, key) of the known ones."""
         at = np.flatnonzero(self.sieve[(grams >> T.U(44)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.keys, grams[at]), max(0, len(self.keys) - 1))
-        good = (self.keys[k] == grams[at]) & (self.first[k] < self.first[k + 1]) if len(self.keys) else np.zeros(0, bool)
+        good = self.keys[k] == grams[at] if len(self.keys) else np.zeros(0, bool)
         return at[good], k[good]
 
 
@@ -84,51 +73,69 @@ def _slices(col: pa.Array, n: int) -> Iterator[tuple]:
         yield a, w, wo, g[~short], doc[~short], pos[~short]
 
 
+def _parts(doc: np.ndarray, many: np.ndarray, most: int = 4_000_000) -> Iterator[slice]:
+    """Ranges of hits that keep each document whole and come to about ``most`` of (hit, item)."""
+    part = np.cumsum(many) // most
+    part = part[np.searchsorted(doc, doc)]  # a document goes where its first hit goes
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    for x, y in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+        yield slice(x, y)
+
+
+def _align_part(out: dict, seeds: Seeds, least_score: float, size: np.ndarray, drift: np.ndarray, words: list[np.ndarray], a: int, w: np.ndarray, wo: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, many: np.ndarray) -> None:
+    """Aligns items around hits (doc, pos, key); the best place of each (row, item) goes to out."""
+    which = seeds.order[np.repeat(seeds.first[key], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    d, it = np.repeat(doc, many), seeds.item[which]
+    diagonal = np.repeat(pos, many) - seeds.place[which]
+    o = np.lexsort((diagonal, d, it))
+    d, it, diagonal = d[o], it[o], diagonal[o]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (np.diff(diagonal) > size[it[1:]] // 2 + 4)
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(d)) - 1
+    n_words = np.diff(wo)[d[lo]]
+    begin, end = np.maximum(0, diagonal[lo] - drift[it[lo]]), np.minimum(n_words, diagonal[hi] + size[it[lo]] + drift[it[lo]])
+    groups = np.flatnonzero(np.diff(it[lo], prepend=-1))
+    for x, y in zip(groups, np.append(groups[1:], len(lo)), strict=True):
+        i = int(it[lo[x]])
+        item = seeds.items[i]
+        by = np.arange(x, y)[np.argsort((end - begin)[x:y], kind="stable")]
+        for c0 in range(0, len(by), 256):
+            c = by[c0 : c0 + 256]
+            width = int((end - begin)[c].max())
+            spot = begin[c][:, None] + np.arange(width)
+            inside = spot < end[c][:, None]
+            win = np.where(inside, w[np.minimum(wo[d[lo[c]]][:, None] + spot, len(w) - 1)], T.U(0))
+            known = words[i][np.minimum(np.searchsorted(words[i], win), len(words[i]) - 1)] == win
+            enough = np.flatnonzero(known.sum(axis=1) >= least_score * len(item))
+            if not len(enough):
+                continue
+            c, win = c[enough], win[enough]
+            best, col_end, item_end = align(win, item)
+            for k in np.flatnonzero(best >= least_score * MATCH * len(item)):
+                back, length, _ = align(win[k : k + 1, : col_end[k]][:, ::-1], item[: item_end[k]][::-1])
+                row, stop = a + int(d[lo[c[k]]]), int(begin[c[k]] + col_end[k])
+                new_one = (float(best[k]) / (MATCH * len(item)), int(hi[c[k]] - lo[c[k]] + 1), stop - int(length[0]), stop)
+                if (row, i) not in out or new_one[0] > out[row, i][0]:
+                    out[row, i] = new_one
+
+
 def _found(col: pa.Array, seeds: Seeds, least_score: float) -> list[tuple]:
     """(row, item, score, seeds, first word, end word) of what reaches least_score; the best place of each item."""
     out: dict[tuple, tuple] = {}
+    size = np.array([len(x) for x in seeds.items])
+    drift = np.array([int(max(0.0, MATCH * n - least_score * MATCH * n) / -GAP) for n in size])  # what an alignment of least_score can gain in gaps
+    words = [np.unique(x) for x in seeds.items]
     for a, w, wo, g, doc, pos in _slices(col, seeds.n):
         at, key = seeds.hits(g)
-        if not len(at):
-            continue
         many = seeds.first[key + 1] - seeds.first[key]
-        which = seeds.order[np.repeat(seeds.first[key], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        d, p, it, q = np.repeat(doc[at], many), np.repeat(pos[at], many), seeds.item[which], seeds.place[which]
-        size = np.array([len(x) for x in seeds.items])
-        diagonal = p - q
-        o = np.lexsort((diagonal, d, it))
-        d, it, diagonal = d[o], it[o], diagonal[o]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (np.diff(diagonal) > size[it[1:]] // 2 + 4)
-        lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(d)) - 1
-        pad = 3 + size[it[lo]] // 4
-        n_words = np.diff(wo)[d[lo]]
-        begin, end = np.maximum(0, diagonal[lo] - pad), np.minimum(n_words, diagonal[hi] + size[it[lo]] + pad)
-        groups = np.flatnonzero(np.diff(it[lo], prepend=-1))
-        for x, y in zip(groups, np.append(groups[1:], len(lo)), strict=True):
-            i = int(it[lo[x]])
-            item = seeds.items[i]
-            by = np.arange(x, y)[np.argsort((end - begin)[x:y], kind="stable")]
-            for c0 in range(0, len(by), 256):
-                c = by[c0 : c0 + 256]
-                width = int((end - begin)[c].max())
-                spot = begin[c][:, None] + np.arange(width)
-                inside = spot < end[c][:, None]
-                win = np.where(inside, w[np.minimum(wo[d[lo[c]]][:, None] + spot, len(w) - 1)], T.U(0))
-                best, col_end, item_end = align(win, item)
-                for k in np.flatnonzero(best >= least_score * MATCH * len(item)):
-                    back, length, _ = align(win[k : k + 1, : col_end[k]][:, ::-1], item[: item_end[k]][::-1])
-                    row, stop = a + int(d[lo[c[k]]]), int(begin[c[k]] + col_end[k])
-                    new_one = (float(best[k]) / (MATCH * len(item)), int(hi[c[k]] - lo[c[k]] + 1), stop - int(length[0]), stop)
-                    if (row, i) not in out or new_one[0] > out[row, i][0]:
-                        out[row, i] = new_one
+        for part in _parts(doc[at], many) if len(at) else ():
+            _align_part(out, seeds, least_score, size, drift, words, a, w, wo, doc[at[part]], pos[at[part]], key[part], many[part])
     return [(r, i, *x) for (r, i), x in sorted(out.items())]
 
 
-def seed_blocks(docs: DataFrame, items: DataFrame, n: int = 3, rare_part: float = 0.5, least_seeds: int = 8, words_a_block: int = 1_000_000) -> list[Seeds]:
-    """The items (item_id, text, ...) in blocks of about ``words_a_block`` words, each with its rare n-grams among all docs."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+def seed_blocks(items: DataFrame, n: int = 3, words_a_block: int = 1_000_000) -> list[Seeds]:
+    """The items (item_id, text, ...) in blocks of about ``words_a_block`` words, each with all its n-grams."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     blocks = max(1, -(-int(own.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * words_a_block)))
     own = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
@@ -137,21 +144,7 @@ def seed_blocks(docs: DataFrame, items: DataFrame, n: int = 3, rare_part: float
         got = own.filter(F.col("block") == b).orderBy("item_id", "text").select("item_id", "text").toArrow()
         data, off = T.buffers(got.column("text"))
         w, wo = T.word_hashes(data, off, plain=True)
-        seeds = Seeds(got.column("item_id").to_pylist(), [w[wo[i] : wo[i + 1]] for i in range(got.num_rows)], n)
-
-        def count(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(seeds.keys), np.int64)
-            for batch in batches:
-                for _, _, _, g, _, _ in _slices(batch.column(0), seeds.n):
-                    total += np.bincount(seeds.hits(g)[1], minlength=len(total))
-            k = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], ["key", "n"])
-
-        counts = np.zeros(len(seeds.keys), np.int64)
-        seen = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        counts[seen.column("key").to_numpy()] = seen.column("n").to_numpy()
-        seeds.rare(counts, rare_part, least_seeds)
-        out.append(seeds)
+        out.append(Seeds(got.column("item_id").to_pylist(), [w[wo[i] : wo[i + 1]] for i in range(got.num_rows)], n))
     return out
 
 
@@ -160,13 +153,16 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.5, **options
 
     Words are lower-cased, ASCII punctuation counts as white space. score is the Smith-Waterman score of the
     best place (match 2, other word -1, gap -1) by that of an exact copy; pairs of at least least_score are
-    returned, with the seeds met there and the place as word_start and word_end (exclusive). Items of fewer
+    returned, with the seeds met there and the place as word_start and word_end (exclusive). Every place with n
+    of the item's words in a row is aligned, as far around as least_score allows; without such a run a pair is
+    not found (3 words in a row fail if each third word is replaced, which scores about 0.5, or if a word is
+    inserted after each second, which may score 0.75). Items of fewer
     than n words, null or empty ones included, have no seed and are never found; a null text holds nothing.
     Rows that repeat an id are compared each by itself. Empty tables give an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for seeds in seed_blocks(docs, items, **options):
+    for seeds in seed_blocks(items, **options):
 
         def find(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -184,7 +180,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, least_score: float = 0.5,
     """The rows of docs that hold no test item. The columns of docs; nothing is shuffled."""
     place = docs.columns.index("text")
     out = docs
-    for seeds in seed_blocks(docs, items, **options):
+    for seeds in seed_blocks(items, **options):
 
         def keep(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in batches:

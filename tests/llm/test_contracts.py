@@ -124,6 +124,25 @@ def test_decontamination_by_brute_force(spark):
     assert kept == set(range(12)) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("nth", [4, 5, 6])
+def test_decontamination_of_edited_items(nth, spark):
+    rng = np.random.default_rng(nth)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [list(rng.choice(vocab, 24)) for _ in range(12)]
+    texts = [[*rng.choice(vocab, 15), *(w if (k + 1) % nth else f"new{k}" for k, w in enumerate(it)), *rng.choice(vocab, 15)] for it in items]
+    texts.append([*items[0][:10], *(f"in{k}" for k in range(13)), *items[0][10:]])  # more inserted than half the item
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    # what survives of an edited item is common elsewhere, what the edit destroyed occurs nowhere
+    common = [" ".join(t[15:39]) + f" end{i}" for i in range(3) for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(common)], "doc_id long, text string")
+    want = {(r.doc_id, i): score(it, r.text.split()) for r in docs.collect() for i, it in enumerate(items)}
+    want = {k: s for k, s in want.items() if s >= 0.5}
+    assert {(i, i) for i in range(12)} | {(12, 0)} <= set(want)
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - s) < 1e-9 for k, s in want.items())
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.fit_and_identify(docs).join(docs, "doc_id")
