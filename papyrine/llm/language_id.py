@@ -193,7 +193,12 @@ def fit_and_identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, least_score: float = 0.35, **options) -> DataFrame:
-    """The rows of docs whose text has a language: not und, and at least least_score sure. The columns of docs."""
+    """The rows of docs whose text has a language: not und, and at least least_score sure. The columns of docs.
+
+    A text with n-grams of which no filter knows any has score 0, as in identify; only a text without an n-gram is
+    kept for its letters alone. The score is a share among the learned languages, so a text in another language
+    that shares n-grams with one of them is kept.
+    """
     model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()), **options)
     fp = model.fill**model.hashes
     schema = docs.schema
@@ -206,7 +211,9 @@ def identified_documents(docs: DataFrame, least_score: float = 0.35, **options)
             if model.langs and len(text):
                 got, seen = hits(model, text)
                 c = np.maximum(0.0, (got - seen[:, None] * fp) / (1 - fp)) / model.cover
-                good = good & (c.max(axis=1) >= least_score * c.sum(axis=1))
+                total = c.sum(axis=1)
+                score = np.where(total > 0, c.max(axis=1) / np.maximum(total, 1e-300), 0.0)
+                good = good & ((score >= least_score) | (seen == 0))
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

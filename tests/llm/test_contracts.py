@@ -154,6 +154,17 @@ def test_language_held_out(spark):
     assert [r.held_out for r in spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", language_id.held_out().alias("held_out")).orderBy("doc_id").collect()] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)]
 
 
+def test_documents_of_no_known_n_gram_are_not_kept(spark):
+    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame([(400, "щщщщ ъъъъ жжжж", None, "a", 14)], DOCS))
+    model = language_id.fit(docs.filter(~language_id.held_out() & F.col("lang").isNotNull()))
+    assert model.langs
+    kept = {r.doc_id for r in language_id.identified_documents(docs).collect()}
+    assert len(kept) > 30
+    assert 400 not in kept
+    scores = {r.doc_id: r.score for r in language_id.identify(docs, model).collect()}
+    assert {i for i in kept if scores[i] == 0.0} == set()
+
+
 def test_mixing_meets_targets(spark):
     docs = documents(spark, 90)
     got = mixing.mix(docs).collect()
