@@ -68,6 +68,7 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
     digits = lambda a, m: F.substring(F.regexp_replace(F.concat(h, h), "[a-f]", ""), a, m)
     capitals = F.concat(F.translate(hx(1, 8), "0123456789abcdef", "ABCDEFGHIJKLMNOP"), F.translate(hx(9, 8), "0123456789abcdef", "KLMNOPQRSTUVWXYZ"))
     letters = lambda a, m: F.translate(b64(a, m), "0123456789+/", "kQzWxJvBqNgR")
+    word = lambda a, m: F.translate(hx(a, m), "0123456789abcdef", "aeiouetnrsldhcgm")
     kinds = [
         (True, F.concat(pick("token", "auth_token", "TOKEN", "secret", "access_token"), F.lit(" = "), q, hx(1, 40), q)),
         (True, F.concat(pick("api_key: ", "apikey=", "API_KEY = ", "client_secret: "), q, b64(1, 36), q)),
@@ -85,7 +86,7 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         (True, F.concat(pick("api_key: ", "apikey=", "token = ", "client_secret: "), q, letters(1, 36), q)),
         (True, F.concat(F.lit('{"'), pick("password", "passwd", "db_password", "secret"), F.lit('": "'), b64(1, 5), pick("!", "$", "#", "%"), b64(9, 4), pick("=", ":", "?", ""), hx(2, 2), F.lit('"}'))),
         (True, F.concat(pick("password = ", "secret: ", "pwd="), q, b64(1, 30), pick("!", "$", "#", "%"), b64(31, 30), pick("@", "*", "~"), b64(61, 20), q)),
-        (False, F.concat(pick("the ", "see ", "= ", "a "), pick("internationalization", "incomprehensibilities", "Donaudampfschifffahrt", "anticonstitutionnellement", "ueberzeugungsarbeiten", "desafortunadamentes", "thanonontioniner", "LAAITIONELLEELLE"))),
+        (False, F.concat(pick("the ", "see ", "= ", "a "), pick("internationalization", "incomprehensibilities", "Donaudampfschifffahrt", word(1, 16), word(5, 17), word(9, 18), word(13, 20), F.initcap(word(17, 16))))),
         (False, F.concat(pick("call ", "see ", "set ", "in "), pick("AbstractSingletonProxyFactory", "MAXIMUM_NUMBER_OF_ITEMS", "state-of-the-art-technology", "get_user_name_from_path", "----------------------", "/usr/local/share/applications"))),
         (False, F.concat(pick("the secret ", "your password ", "a secret = ", "password: "), pick("agreement", "protection", "required", "ingredient", "documents", "settings", "optional"))),
     ]
