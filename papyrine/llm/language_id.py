@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as T
+from .scratch import stored
 
 UNKNOWN = "und"
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -74,8 +75,10 @@ def fit(labelled: DataFrame, n: int = 5, docs_per_lang: int = 8000, least_rate:
     """Learns from the rows of (doc_id, text, lang) that have a text and a lang.
 
     docs_per_lang bounds the sample: about so many documents of each language, taken by a hash of the id.
-    An n-gram belongs to a language where its rate is at least least_rate, which bounds the filter by
-    1 / least_rate n-grams a language, and at least least_share of its highest rate in any language.
+    An n-gram belongs to a language where its rate is at least least_rate, and at least least_share of its highest
+    rate in any language. So a language has at most 1 / least_rate n-grams, and the filter, which the driver gets
+    as at most one row a position, at most 2 * bits / least_rate positions (16 million by default) of one byte for
+    up to 8 languages, else of 8 bytes for each 64 languages, whatever the input.
     """
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = dict(rows.groupBy("lang").count().collect())
@@ -110,24 +113,30 @@ def fit(labelled: DataFrame, n: int = 5, docs_per_lang: int = 8000, least_rate:
                 m = len(k[j : j + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array(k[j : j + m].view(np.int64)), pa.array(np.full(m, i, np.int32)), pa.array(c[j : j + m].astype(np.int64))], ["gram", "lang", "n"])
 
-    # a wide ordering of the partitions does not matter: counts add up
-    counts = rows.filter(h < share).select("lang", "text").mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).persist()
+    counts = stored(rows.filter(h < share).select("lang", "text").mapInArrow(T.tidied(count), "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     total = np.zeros(len(langs))
     for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
         total[r["lang"]] = r["n"]
     rate = F.col("n") / F.element_at(F.array(*[F.lit(max(float(t), 1.0)) for t in total]), F.col("lang") + 1)
-    best = counts.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    kept = best.filter((F.col("rate") >= least_rate) & (F.col("n") >= 2) & (F.col("rate") >= least_share * F.col("top")))
-    got = kept.select("gram", "lang", "n").toArrow()
-    counts.unpersist()
-    gram, lang, num = (got.column(i).to_numpy() for i in range(3))
-    cover = np.bincount(lang, num, len(langs)) / np.maximum(total, 1)
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, len(gram)) * bits))))
+    top = counts.withColumn("rate", rate).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("l"))  # at most a row a language
+    kept = top.select("gram", "top", F.inline("l")).filter((F.col("rate") >= least_rate) & (F.col("n") >= 2) & (F.col("rate") >= least_share * F.col("top")))
+    kept = stored(kept.select("gram", "lang", "n"), "kept-grams")
+    cover, held = np.zeros(len(langs)), 0
+    for r in kept.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect():
+        cover[r["lang"]], held = r["n"] / max(total[r["lang"]], 1), max(held, r["grams"])
+    size = 1 << max(10, int(np.ceil(np.log2(max(1, held) * bits))))  # each language has its own slice of bits: the fullest decides
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column(1).to_numpy().astype(np.int64)
+            for at in _places(batch.column(0).to_numpy().view(np.uint64), hashes, size):
+                yield pa.RecordBatch.from_arrays([pa.array(lang // 64), pa.array(at), pa.array((T.U(1) << (lang % 64).astype(np.uint64)).view(np.int64))], ["word", "at", "mask"])
+
+    got = kept.select("gram", "lang").mapInArrow(T.tidied(positions), "word long, at long, mask long").groupBy("word", "at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    word, at, mask = (got.column(i).to_numpy() for i in range(3))
     words = [np.zeros(size, np.uint8 if len(langs) <= 8 else np.uint64) for _ in range(-(-len(langs) // 64))]
-    at = _places(gram.view(np.uint64), hashes, size)
-    for i in range(len(langs)):
-        for p in at:
-            words[i // 64][p[lang == i]] |= words[0].dtype.type(1 << (i % 64))
+    for w, table in enumerate(words):
+        table[at[word == w]] = mask[word == w].view(np.uint64).astype(table.dtype)
     fill = np.array([((words[i // 64] >> words[0].dtype.type(i % 64)) & 1).mean() for i in range(len(langs))])
     return LanguageFilter(langs, n, hashes, words, fill, np.maximum(cover, 1e-3), max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i)))
 
@@ -167,9 +176,10 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     corrected counts, 0 to 1. Whole texts are read; no column but text takes part. An empty table gives an
     empty result.
     """
-    fp = model.fill**model.hashes
+    fp, shared = model.fill**model.hashes, docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             text = batch.column(2).fill_null("")
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
@@ -184,7 +194,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(T.tidied(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def fit_and_identify(docs: DataFrame, **options) -> DataFrame:
@@ -200,11 +210,12 @@ def identified_documents(docs: DataFrame, least_score: float = 0.35, **options)
     that shares n-grams with one of them is kept.
     """
     model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()), **options)
-    fp = model.fill**model.hashes
+    fp, shared = model.fill**model.hashes, docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             text = batch.column(place).fill_null("")
             good = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
@@ -216,4 +227,4 @@ def identified_documents(docs: DataFrame, least_score: float = 0.35, **options)
                 good = good & ((score >= least_score) | (seen == 0))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(T.tidied(keep), schema)

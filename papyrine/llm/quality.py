@@ -167,7 +167,7 @@ def fit(docs: DataFrame, most: int = 6000) -> QualityModel:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
-    got = rows.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
+    got = rows.select("text").mapInArrow(T.tidied(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()
     codes, counts = got.column("code").to_numpy(), got.column("n").to_numpy().astype(float)
     labels = fit_labels(codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, counts)
 
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, most: int = 6000) -> QualityModel:
 
     share = min(1.0, most / max(1.0, counts.sum()))
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    some = rows.withColumn("h", h).filter(F.col("h") < int(share * (1 << 30))).select("h", "text").mapInArrow(sample, "h long, target double, dims binary, vals binary").orderBy("h", "dims").toArrow()
+    some = rows.withColumn("h", h).filter(F.col("h") < int(share * (1 << 30))).select("h", "text").mapInArrow(T.tidied(sample), "h long, target double, dims binary, vals binary").orderBy("h", "dims").toArrow()
     x = [(np.frombuffer(k, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for k, v in zip(some.column("dims").to_pylist(), some.column("vals").to_pylist(), strict=True)]
     weights, bias = fit_scorer(x, some.column("target").to_numpy())
     return QualityModel(labels, weights.astype(np.float32), float(bias))
@@ -202,4 +202,4 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.35) -> Data
             s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(r) for r in letters[v]], pa.string()), pa.array(model.labels.posterior(v), pa.float64()), pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_())], ["doc_id", "votes", "posterior", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, votes string, posterior double, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(T.tidied(run), "doc_id long, votes string, posterior double, score double, kept boolean")

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textvec as T
 from .scratch import new_path, stored
 from .tokens import encoder, vocabulary
 
@@ -164,7 +165,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame,
                 part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(kind).tobytes() + end for x in e.encode(part.column(1))], pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary"), kind
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(T.tidied(encode), "doc_id long, ids binary"), kind
 
 
 def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
@@ -181,7 +182,7 @@ def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    got = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = tokens.select("ids").mapInArrow(T.tidied(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids = got.column("id").to_numpy()
     out = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
     out[ids] = got.column("n").to_numpy()
@@ -225,9 +226,9 @@ def write_blocks(tokens: DataFrame, kind: str, path: str, limit: int = 16, block
         if held:
             yield made()
 
-    rows = tokens.select("doc_id", "ids").mapInArrow(encode, "doc_id long, n long, widths binary, code binary")
+    rows = tokens.select("doc_id", "ids").mapInArrow(T.tidied(encode), "doc_id long, n long, widths binary, code binary")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "code")
-    rows.mapInArrow(gather, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    rows.mapInArrow(T.tidied(gather), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -248,7 +249,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array([t.astype("<u4").tobytes() for t in texts], pa.binary())], ["doc_id", "start", "ids"])
 
     placed = blocks.join(F.broadcast(base), "part").select((F.col("before") + F.col("base")).alias("begin"), "block")
-    return placed.mapInArrow(decode, "doc_id long, start long, ids binary")
+    return placed.mapInArrow(T.tidied(decode), "doc_id long, start long, ids binary")
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -259,7 +260,7 @@ def digests(read: DataFrame) -> DataFrame:
             raw = [x.as_py() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read.mapInArrow(T.tidied(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, limit: int = 16, block: int = BLOCK) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textvec as T
+
 BINS = 1024
 EXACT = 2.0**53
 
@@ -100,7 +102,7 @@ def _block(own: DataFrame, ids: np.ndarray, vec: list[np.ndarray], k: int, scale
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at]), pa.array(lo[at]), pa.array(hi[at])], ["q", "n", "lo", "hi"])
 
-    got = own.mapInArrow(ranges, "q long, n long, lo long, hi long").groupBy("q").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
+    got = own.mapInArrow(T.tidied(ranges), "q long, n long, lo long, hi long").groupBy("q").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
     q0 = got.column("q").to_numpy()
     lo, hi, left = np.zeros(len(ids), object), np.full(len(ids), -1, object), np.zeros(len(ids), np.int64)
     lo[q0], hi[q0] = [int(x) for x in got.column("lo").to_numpy()], [int(x) for x in got.column("hi").to_numpy()]
@@ -123,7 +125,7 @@ def _block(own: DataFrame, ids: np.ndarray, vec: list[np.ndarray], k: int, scale
             r, x = np.nonzero((held > 0) & (above < left[:, None]))
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(x, pa.int64()), pa.array(held[r, x], pa.int64())], ["q", "bin", "n"])
 
-        got = own.mapInArrow(histogram, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        got = own.mapInArrow(T.tidied(histogram), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         above = F.sum("n").over(Window.partitionBy("q").orderBy(F.col("bin").desc())) - F.col("n")
         rows = got.withColumn("above", above).filter(F.col("above") < k).toArrow()
         best: dict[int, tuple[int, int]] = {}
@@ -154,6 +156,6 @@ def _block(own: DataFrame, ids: np.ndarray, vec: list[np.ndarray], k: int, scale
             q, c, s = (np.concatenate([o[i] for o in over]) for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c.astype(np.int64)), pa.array(s.astype(np.int64))], ["query_id", "vec_id", "score"])
 
-    found = own.mapInArrow(chosen, "query_id long, vec_id long, score long")
+    found = own.mapInArrow(T.tidied(chosen), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
