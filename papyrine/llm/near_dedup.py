@@ -3,8 +3,8 @@
 1. One pass hashes each text's distinct word shingles to a set digest, banded MinHashes and a signature.
    Documents of equal sets fall into one class; only its smallest id goes on, so copies cost nothing more.
 2. Members of a band's bucket meet the bucket's two ends (never each other) and components are formed. Then
-   members of different components that still share a bucket meet, all of them, without a cap: blocks of them
-   pass by each other, so their pairs never become rows.
+   members of different components that still share a bucket meet, all of them, without a cap: where very many
+   are left in one bucket, by a second band; blocks of them pass by each other, so their pairs never become rows.
 3. Each candidate pair's signatures are compared in batches; a pair is dropped once the posterior
    probability that its similarity reaches the threshold is under ``miss``. Survivors are confirmed on
    the full sets, recomputed from the whole texts.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as T
 from .components import connected_components
+from .rows import numbered
 from .scratch import stored
 
 HASHES, BATCH = 320, 32
@@ -29,8 +30,12 @@ SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig
 
 
 def rows_per_band(threshold: float, hashes: int = HASHES, miss: float = 1e-5) -> int:
-    """The most rows a band may have so that a pair at the threshold shares no band with probability at most miss."""
-    return max(r for r in range(1, 17) if r == 1 or (1 - threshold**r) ** (hashes // r) <= miss)
+    """The most rows a band may have so that a pair at the threshold shares fewer than two bands with probability at most miss.
+
+    One band is enough for a pair to meet, except in a hot bucket, whose members meet by a second one.
+    """
+    fewer = lambda p, n: (1 - p) ** n + n * p * (1 - p) ** (n - 1)
+    return max(r for r in range(1, 17) if r == 1 or fewer(threshold**r, hashes // r) <= miss)
 
 
 def least_matches(threshold: float, miss: float, hashes: int = HASHES, batch: int = BATCH) -> list[int]:
@@ -93,7 +98,7 @@ def signatures(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
             col = pa.ListArray.from_arrays(pa.array(off), pa.array(keys[size > 0].ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), col, pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(T.tidied(sign), SIGNED)
 
 
 def _like(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
@@ -120,7 +125,7 @@ def plausible(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float)
             alive = pa.array(_like(_matrix(batch.column(2)), _matrix(batch.column(3)), least))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(alive), batch.column(1).take(alive)], ["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(T.tidied(compare), "a long, b long")
 
 
 def joined_up(pairs: list[np.ndarray]) -> pa.RecordBatch:
@@ -165,6 +170,22 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(group[lo]), lo, lo + int((k[3][lo:hi] == 0).sum()), hi
 
 
+def by_second_band(members: DataFrame, reps: DataFrame, hot: int) -> DataFrame:
+    """members (key, doc_id, comp), those of hot keys under keys made of theirs and of each other band of the member.
+
+    Hot is a key with more than ``hot`` members outside its largest component: what they share is so common that it
+    says little. A pair that shares another band meets under that pair of bands; rows_per_band makes sure of one.
+    So the work on a hot key grows with its members and not with their square.
+    """
+    by_comp = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    large = by_comp.groupBy("key").agg((F.sum("n") - F.max("n")).alias("n")).filter(F.col("n") > hot).select("key")
+    own = members.join(large, "key", "left_semi").join(reps.select("doc_id", "bands"), "doc_id")
+    own = own.select("key", "doc_id", "comp", F.explode("bands").alias("band")).filter("band <> key").select(F.xxhash64("key", "band").alias("key"), "doc_id", "comp")
+    own = stored(own, "second-bands")
+    torn = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return members.join(large, "key", "left_anti").union(own.join(torn, "key").select("key", "doc_id", "comp"))
+
+
 def plausible_clusters(members: DataFrame, sigs: DataFrame, num: int, den: int, miss: float, held: int = 512, streamed: int = 8192) -> DataFrame:
     """Clusters (node, root) of members (key, doc_id, comp) that plausible pairs of one bucket, but two components, connect.
 
@@ -198,7 +219,7 @@ def plausible_clusters(members: DataFrame, sigs: DataFrame, num: int, den: int,
             if sum(map(len, found)):
                 yield joined_up(found)
 
-    pairs = rows.repartition("key", "hold", "stream").sortWithinPartitions("key", "hold", "stream", "part").mapInArrow(compare, "a long, b long")
+    pairs = rows.repartition("key", "hold", "stream").sortWithinPartitions("key", "hold", "stream", "part").mapInArrow(T.tidied(compare), "a long, b long")
     return connected_components(pairs, "a", "b")
 
 
@@ -237,7 +258,7 @@ def confirmed_in_clusters(members: DataFrame, docs: DataFrame, shingle: int, num
             if found:
                 yield joined_up(found)
 
-    return rows.repartition("key", "hold", "stream").sortWithinPartitions("key", "hold", "stream", "part").mapInArrow(confirm, "a long, b long")
+    return rows.repartition("key", "hold", "stream").sortWithinPartitions("key", "hold", "stream", "part").mapInArrow(T.tidied(confirm), "a long, b long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -273,10 +294,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(ids[good])], ["a", "b"])
 
-    return rows.repartition("a", "share").sortWithinPartitions("a", "share", "part").mapInArrow(confirm, "a long, b long")
+    return rows.repartition("a", "share").sortWithinPartitions("a", "share", "part").mapInArrow(T.tidied(confirm), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, miss: float = 1e-6, hot: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text, ...).
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. A text of fewer words than ``shingle`` is one
@@ -308,7 +329,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     own = reps.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp"), "bands")
     members = own.select("doc_id", "comp", F.explode("bands").alias("key"))
     torn = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    members = stored(members.join(torn, "key"), "torn")
+    members = stored(members.join(torn, "key").select("key", "doc_id", "comp"), "torn")
+    members = stored(by_second_band(members, reps, hot), "torn")
     clusters = plausible_clusters(members, reps, num, den, miss)
     members = clusters.select(F.col("root").alias("key"), F.col("node").alias("doc_id")).join(own.select("doc_id", "comp"), "doc_id")
     more = stored(confirmed_in_clusters(stored(members, "clusters"), docs, shingle, num, den), "links")
@@ -322,7 +344,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which near_duplicates keeps the id; rows without an id, or that share one, stay or go together."""
-    keep = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return known.union(docs.filter(F.col("doc_id").isNull()))
+    """The rows of docs (doc_id, text, ...), one of each component of near_duplicates. The columns of docs.
+
+    Rows are taken one by one, whatever their ids: of rows that repeat an id or have none one stays, too, if their
+    texts are linked. The row of the smallest id stays; without an id only if no row of its component has one; of
+    rows that repeat that id any one, the same in each run over the same files. A null, empty or blank text is linked with nothing and
+    stays, as does each text under the same id that is linked with no other. An empty table gives an empty result.
+    """
+    own = numbered(docs)
+    id_ = F.col("row.doc_id").cast("long")
+    found = near_duplicates(own.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")), **options).select(F.col("doc_id").alias("uid"), "component_id")
+    ids = own.select("uid", F.struct(id_.isNull().alias("unknown"), id_.alias("id"), "uid").alias("rank"))
+    keep = found.join(ids, "uid").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.uid")
+    return own.join(keep, "uid", "left_semi").select("row.*")
