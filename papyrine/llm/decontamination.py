@@ -52,6 +52,13 @@ class Seeds:
         self.first = np.searchsorted(self.key[self.order], np.arange(len(self.keys) + 1))
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.keys >> T.U(44)).astype(np.int64)] = True
+        # items of fewer words, by their number: hashes of the whole item, in order, and the items
+        self.short = {}
+        for k in range(1, n):
+            at = np.array([i for i, w in enumerate(items) if len(w) == k], np.int64)
+            if len(at):
+                h = np.array([T.shingle_hashes(items[i], np.array([0, k]), k)[0][0] for i in at], np.uint64)
+                self.short[k] = np.sort(h), at[np.argsort(h, kind="stable")]
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in grams, key) of the known ones."""
@@ -99,24 +106,31 @@ def _align_part(out: dict, seeds: Seeds, least_score: float, size: np.ndarray, d
     for x, y in zip(groups, np.append(groups[1:], len(lo)), strict=True):
         i = int(it[lo[x]])
         item = seeds.items[i]
-        by = np.arange(x, y)[np.argsort((end - begin)[x:y], kind="stable")]
-        for c0 in range(0, len(by), 256):
-            c = by[c0 : c0 + 256]
-            width = int((end - begin)[c].max())
-            spot = begin[c][:, None] + np.arange(width)
-            inside = spot < end[c][:, None]
+        # what reaches least_score spans at most so many words: wide windows become tiles that overlap by as many
+        span = int(size[i] + drift[i])
+        tiles = np.maximum(1, -(-(end[x:y] - begin[x:y] - span) // (3 * span)))
+        by = np.repeat(np.arange(x, y), tiles)
+        tb = begin[by] + 3 * span * (np.arange(len(by)) - np.repeat(np.cumsum(tiles) - tiles, tiles))
+        te = np.minimum(tb + 4 * span, end[by])
+        order = np.argsort(te - tb, kind="stable")
+        step = max(1, min(256, 500_000 // (4 * span)))
+        for c0 in range(0, len(by), step):
+            t = order[c0 : c0 + step]
+            c, width = by[t], int((te - tb)[t].max())
+            spot = tb[t][:, None] + np.arange(width)
+            inside = spot < te[t][:, None]
             win = np.where(inside, w[np.minimum(wo[d[lo[c]]][:, None] + spot, len(w) - 1)], T.U(0))
             known = words[i][np.minimum(np.searchsorted(words[i], win), len(words[i]) - 1)] == win
             enough = np.flatnonzero(known.sum(axis=1) >= least_score * len(item))
             if not len(enough):
                 continue
-            c, win = c[enough], win[enough]
+            c, t, win = c[enough], t[enough], win[enough]
             best, col_end, item_end = align(win, item)
             for k in np.flatnonzero(best >= least_score * MATCH * len(item)):
                 back, length, _ = align(win[k : k + 1, : col_end[k]][:, ::-1], item[: item_end[k]][::-1])
-                row, stop = a + int(d[lo[c[k]]]), int(begin[c[k]] + col_end[k])
+                row, stop = a + int(d[lo[c[k]]]), int(tb[t[k]] + col_end[k])
                 new_one = (float(best[k]) / (MATCH * len(item)), int(hi[c[k]] - lo[c[k]] + 1), stop - int(length[0]), stop)
-                if (row, i) not in out or new_one[0] > out[row, i][0]:
+                if (row, i) not in out or (new_one[0], -stop) > (out[row, i][0], -out[row, i][3]):
                     out[row, i] = new_one
 
 
@@ -131,9 +145,23 @@ def _found(col: pa.Array, seeds: Seeds, least_score: float) -> list[tuple]:
         many = seeds.first[key + 1] - seeds.first[key]
         for part in _parts(doc[at], many) if len(at) else ():
             _align_part(out, seeds, least_score, size, drift, words, a, w, wo, doc[at[part]], pos[at[part]], key[part], many[part])
+        _whole_items(out, seeds, a, w, wo)
     return [(r, i, *x) for (r, i), x in sorted(out.items())]
 
 
+def _whole_items(out: dict, seeds: Seeds, a: int, w: np.ndarray, wo: np.ndarray) -> None:
+    """Items of fewer words than a seed, where a text holds them whole; one of a single word, where the text is that word."""
+    for k, (hashes, items) in seeds.short.items():
+        g, go = T.shingle_hashes(w, wo, k)
+        many = np.diff(wo)
+        doc = np.repeat(np.arange(len(many)), np.diff(go))
+        lo, hi = np.searchsorted(hashes, g, "left"), np.searchsorted(hashes, g, "right")
+        for p in np.flatnonzero((hi > lo) & (many[doc] >= k) & ((k > 1) | (many[doc] == 1))):
+            begin = int(p - go[doc[p]])
+            for i in items[lo[p] : hi[p]]:
+                out.setdefault((a + int(doc[p]), int(i)), (1.0, 1, begin, begin + k))
+
+
 def seed_blocks(items: DataFrame, n: int = 3, words_a_block: int = 1_000_000) -> list[Seeds]:
     """The items (item_id, text, ...) in blocks of about ``words_a_block`` words, each with all its n-grams."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
@@ -156,8 +184,9 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.5, **options
     returned, with the seeds met there and the place as word_start and word_end (exclusive). Every place with n
     of the item's words in a row is aligned, as far around as least_score allows; without such a run a pair is
     not found (3 words in a row fail if each third word is replaced, which scores about 0.5, or if a word is
-    inserted after each second, which may score 0.75). Items of fewer
-    than n words, null or empty ones included, have no seed and are never found; a null text holds nothing.
+    inserted after each second, which may score 0.75). Items of fewer than n words are found where a text holds
+    them whole, those of one word where the text is that word alone; null and empty ones are never found. A null
+    or empty text holds nothing. Of equal places the first counts. Other columns are not read.
     Rows that repeat an id are compared each by itself. Empty tables give an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -171,13 +200,17 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.5, **options
                     r, i, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), pa.array([seeds.ids[x] for x in i], pa.int64()), pa.array(rest[0], pa.float64()), pa.array(rest[1], pa.int32()), pa.array(rest[2], pa.int64()), pa.array(rest[3], pa.int64())], ["doc_id", "item_id", "score", "seeds", "word_start", "word_end"])
 
-        part = texts.mapInArrow(find, FOUND)
+        part = texts.mapInArrow(T.tidied(find), FOUND)
         out = part if out is None else out.union(part)
     return out
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
-    """The rows of docs that hold no test item. The columns of docs; nothing is shuffled."""
+    """The rows of docs that hold no test item, as leaks finds them. The columns of docs; nothing is shuffled.
+
+    Rows with a null or empty text stay, and so does every row where items is empty; each row is judged by its own
+    text, whatever its id. An empty table gives an empty result.
+    """
     place = docs.columns.index("text")
     out = docs
     for seeds in seed_blocks(items, **options):
@@ -188,5 +221,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, least_score: float = 0.5,
                 good[[r for r, *_ in _found(batch.column(place), seeds, least_score)]] = False
                 yield batch.filter(pa.array(good))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(T.tidied(keep), docs.schema)
     return out
