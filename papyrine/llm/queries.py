@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import chat, decontamination, language_id, mixing, near_dedup, pii, quality, secrets, token_blocks, topk
 
 END_ID = 2
+#: For the synthetic tables; real ones need a secret in spark.papyrine.surrogate.key.
+SURROGATE_KEY = "synthetic tables only"
 
 
 def tokenizer_path() -> str:
@@ -56,7 +58,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    return pii.with_surrogates(table(spark, sf_dir, "documents"), spark.conf.get("spark.papyrine.surrogate.key", SURROGATE_KEY)).select("doc_id", "n_entities", "text")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

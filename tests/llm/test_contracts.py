@@ -44,7 +44,7 @@ OPERATORS = {
     "tokens": lambda s, d: token_blocks.digests(token_blocks.token_files(d, Q.tokenizer_path(), Q.END_ID)),
     "quality": lambda s, d: quality.score(d, quality.fit(d)),
     "near": lambda s, d: near_dedup.near_duplicates(d),
-    "pii": lambda s, d: pii.with_surrogates(d),
+    "pii": lambda s, d: pii.with_surrogates(d, "k"),
     "secrets": lambda s, d: secrets.scan(d, [({}, {1: 0.5})]),
     "chat": lambda s, d: chat.chat_documents(d.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", "key", "i", "n", "chunk") if "i" in d.columns else d.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text")),
     "topk": lambda s, d: topk.top_k(d.select(F.col("doc_id").alias("vec_id"), F.when(F.col("text") != "", F.array(F.col("n_chars").cast("float"))).alias("embedding"))),
@@ -235,7 +235,7 @@ def test_top_k_by_brute_force(spark):
 def test_surrogates(spark):
     a = "Mr Adam Smith wrote to adam@smith.example.com from 10.20.30.40, then Mr Adam Smith called +1 555 123 4567."
     b = "ADAM@SMITH.EXAMPLE.COM and Frau Anna Smith; 123-45-6789, 4111 1111 1111 1111 and 4111111111111111."
-    got = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame([(1, a), (2, b), (3, "nothing 12 here"), (4, None)], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame([(1, a), (2, b), (3, "nothing 12 here"), (4, None)], "doc_id long, text string"), "k").collect()}
     assert [got[i].n_entities for i in (1, 2, 3, 4)] == [5, 5, 0, 0]
     for s in ("Adam", "adam@", "10.20.30.40", "555 123", "123-45", "4111", "ADAM", "Anna"):
         assert s not in got[1].text + got[2].text
@@ -247,8 +247,67 @@ def test_surrogates(spark):
     assert got[3].text == "nothing 12 here"
 
 
+def test_surrogates_are_true_to_type(spark):
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10
+
+    iban = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    texts = {
+        1: "Г-жа Анна Иванова и г. Г-н Иванов",
+        2: "pay 4111 1111 1111 1111 or DE89370400440532013000",
+        3: "Dr Anna Maria Berger, Mrs Smith-Jones, Mr McDonald and Mr O'Brien met Mr A" + "b" * 60,
+        4: "see Adam Smith of 12 High Street",
+        5: "a@b" + ".cc" * 5_000,
+        6: "x" * 1_000_000 + " " + "1." * 100_000 + "A" * 300_000,
+        7: " ".join(f"{c}@box.org" for c in "bcdfghjklmnpqrstvwxyz"),
+    }
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    d = d.withColumn("pii_id", F.lit("mine")).withColumn("pii_new", F.lit("own")).withColumn("uid", F.lit("u")).withColumn("m", F.lit("m"))
+    rows = {r.doc_id: r for r in pii.with_surrogates(d, "k").collect()}
+    assert {(r.pii_id, r.pii_new, r.uid, r.m) for r in rows.values()} == {("mine", "own", "u", "m")}
+    got = {k: r.text for k, r in rows.items()}
+    woman, man = got[1].split()[2], got[1].split()[-1]
+    assert woman == man + "а" != "Иванова"
+    card, account = got[2][4:23], got[2].split()[-1]
+    assert luhn(card.replace(" ", "")) == 0 and [i for i, c in enumerate(card) if c == " "] == [4, 9, 14] and iban(account) == 1 and account[:2] == "DE"
+    assert not any(x in got[3] + got[4] for x in ("Anna", "Berger", "Smith", "Jones", "McDonald", "O'Brien", "bbb", "Adam"))
+    assert got[4].endswith(" of 12 High Street")
+    assert rows[5].n_entities == 1 and not got[5].startswith("a@b.cc.cc")
+    assert got[6] == texts[6]
+    boxes = got[7].split()
+    assert len(set(boxes)) == 21 and not set(boxes) & set(texts[7].split()) and len({b.split("@")[1] for b in boxes}) == 1
+    with pytest.raises(ValueError):
+        pii.with_surrogates(d, "")
+
+
+def test_surrogates_by_brute_force(spark, sf):
+    """Every gap stays, every mention goes, and entities and surrogates are one to one."""
+    import regex
+
+    find = regex.compile(pii.ENTITY)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = pii.with_surrogates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "k").collect()
+    there: dict = {}
+    for r in rows:
+        t = docs[r.doc_id]
+        own = [m[0] for m in find.finditer(t or "")]
+        assert r.n_entities == len(own)
+        gaps, at = find.split(t or ""), 0
+        if not own:
+            assert r.text == t
+            continue
+        assert r.text.startswith(gaps[0]) and r.text.endswith(gaps[-1])
+        at = len(gaps[0])
+        for m, g in zip(own, gaps[1:], strict=True):
+            end = r.text.index(g, at + 1) if g else len(r.text)
+            there.setdefault(m.lower(), set()).add(r.text[at:end].lower())
+            at = end + len(g)
+    assert there
+    assert all(len(x) == 1 for x in there.values())
+
+
 def test_every_entity_has_a_sign(spark):
-    hits = ["a@b.cd", "1.1.1.1", "123-45-6789", "(12) 345-6789", "+1 23 45", "123.456.7890", "4111-1111-1111-1", "1234567890123", "DE89370400440532013000", "M. Ab", "Prof Xy"]
+    hits = ["a@b.cd", "1.1.1.1", "123-45-6789", "(12) 345-6789", "+1 23 45", "123.456.7890", "4111-1111-1111-1", "1234567890123", "DE89370400440532013000", "M. Ab", "Prof Xy", "Adam Smith"]
     d = spark.createDataFrame([(h,) for h in hits], "t string")
     r = d.select(F.count_if(F.col("t").rlike(pii.ENTITY)).alias("e"), F.count_if(F.col("t").contains("@") | F.col("t").rlike(pii.SIGN)).alias("s")).first()
     assert (r.e, r.s) == (len(hits), len(hits))
