@@ -98,9 +98,9 @@ c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, rol
 u AS (SELECT min(conv_id) AS conv_id, l, len(l) AS n FROM c GROUP BY l),
 m AS (SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.n > a.n AND b.l[1:a.n] = a.l)),
 x AS (SELECT conv_id, n, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM m)
-SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST((i - 1) // 256 AS BIGINT) AS segment,
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns,
   string_agg('<|im_start|>' || replace(coalesce(e.r, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(e.t, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY i) AS text
-FROM x GROUP BY conv_id, n, (i - 1) // 256
+FROM x GROUP BY conv_id, n
 """
 
 _NEAR = r"""

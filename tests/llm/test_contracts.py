@@ -230,6 +230,18 @@ def test_top_k_by_brute_force(spark):
         for k, i in enumerate(sorted((i for i in range(120) if i != q), key=lambda i: (-s[i], i))[:5]):
             want[q, k + 1] = (i, int(s[i]))
     assert got == want
+    d = spark.createDataFrame([*rows, (0, [-5.0 / 256, None]), (300, [None]), (300, [1.0] * 6), (350, [-5.0, float("nan")]), (350, [0.5] * 6)], "vec_id long, embedding array<float>")
+    small, large = ({tuple(r) for r in topk.top_k(d, every=1, block=b, part=p).collect()} for b, p in ((7, 11), (2048, 65536)))
+    assert small == large
+    assert {r[0] for r in small} == {*range(120), 300, 350}
+
+
+def test_long_conversations_stay_whole(spark):
+    turns = [(1, i, "user", f"t{i}") for i in range(1000)] + [(2, i, "user", f"t{i}") for i in range(999)] + [(3, None, "user", f"n{i:04}") for i in range(600)]
+    got = {r.conv_id: r for r in chat.chat_documents(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {1: 1000, 3: 600}
+    assert got[1].text == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(1000))
+    assert got[3].text == "".join(f"<|im_start|>user\nn{i:04}<|im_end|>\n" for i in range(600))
 
 
 def test_surrogates(spark):
