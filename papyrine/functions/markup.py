@@ -134,7 +134,7 @@ def fast_text(c: Column) -> Column:
 
 
 def needs_tokenizer(c: Column) -> Column:
-    odd = r"<!\[CDATA\[|&#|(?i)<!doctype[^>]*\[|<[^\s>/:]*:(?:script|style)[\s>]"
+    odd = r"<!\[CDATA\[|&#|(?i)<!doctype[^>]*\[|<[^\s<>/:]*+:(?:script|style)[\s>]"
     return c.rlike(odd) | _without_marks(c).contains("<")
 
 

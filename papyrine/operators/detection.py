@@ -18,7 +18,7 @@ def classified(files: DataFrame, model: Classifier, block: int = 4096) -> DataFr
     Only the other rows' features reach the model, in Arrow batches; it is loaded once for each Python worker.
     """
     labels, thresholds = model.labels, model.thresholds
-    prepared = D.features(block, model.begin, model.end, model.padding)(F.col("content"))
+    prepared = D.features(block, model.begin, model.end, model.padding)(D.edge_sample(F.col("content"), block))  # all that features reads: large files don't cross to Python whole
     rows = files.withColumn("_features", prepared)
     ruled = D.short_label(F.col("content"), F.col("_features"), model.least, block, model.padding)
 

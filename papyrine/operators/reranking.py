@@ -38,7 +38,7 @@ def score(pairs: DataFrame, model: CrossEncoder, query: str = "query", document:
 def rerank(documents: DataFrame, query: str, model: CrossEncoder, document: str = "document", index: str = "index", k: int | None = None, normalize: bool = False, batch: int | None = None) -> DataFrame:
     """documents by falling score for one query, ties by index; with normalize the scores are sigmoids, taken before sorting."""
     checked_top_k(k)
-    rows = score(documents.withColumn("query", F.lit(query)), model, "query", document, batch).drop("query")
+    rows = score(documents.withColumn("_query", F.lit(query)), model, "_query", document, batch).drop("_query")
     return top_k(rows.withColumn("score", sigmoid(F.col("score"))) if normalize else rows, "score", index, k)
 
 

@@ -159,7 +159,7 @@ def d15_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def d4_d5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A classifier's inputs for every page, and how many places are filled."""
-    rows = page_files(spark, sf_dir).select("page_id", "content", D.features()(F.col("content")).alias("f"))
+    rows = page_files(spark, sf_dir).select("page_id", "content", D.features()(D.edge_sample(F.col("content"), 4096)).alias("f"))
     return rows.select("page_id", F.size("f").alias("n"), F.size(F.filter("f", lambda x: x != 256)).alias("filled"), D.short_label(F.col("content"), F.col("f")).alias("ruled"))
 
 

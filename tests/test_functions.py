@@ -246,3 +246,16 @@ def test_images():
         imaging.crop(tall, np.zeros((4, 2)))
     assert imaging.recogniser_input(source()).shape == (3, 48, 320)
     assert imaging.layout_input(source()).shape == (3, 800, 800)
+
+
+def test_markup_of_large_scripts_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        d = spark.createDataFrame([("<p>a</p><script>" + "x<" * n + "</script>b",)], "h string")
+        began = time.perf_counter()
+        assert d.select(M.markup_text(F.col("h"))["text"].alias("t")).first().t == "a b"
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(400_000) < 30
