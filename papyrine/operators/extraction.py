@@ -173,9 +173,9 @@ def extract(files: DataFrame, config: ExtractionConfig | None = None) -> DataFra
     )
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """files, succeeded, failed: one row."""
-    return results.agg(F.count("*").alias("files"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+def summary(results: DataFrame, *more: Column) -> DataFrame:
+    """files, succeeded, failed and further aggregates: one row."""
+    return results.agg(F.count("*").alias("files"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), *more)
 
 
 def as_documents(results: DataFrame, pretty: bool = False) -> DataFrame:

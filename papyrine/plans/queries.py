@@ -64,10 +64,11 @@ _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBL
 _SIGMOID = "CAST(1 / (1 + exp(-CAST({x} AS DOUBLE))) AS FLOAT)"
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS succeeded, CAST(0 AS BIGINT) AS failed FROM pages")
+@query(f"SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(text) AS BIGINT) AS succeeded, CAST(0 AS BIGINT) AS failed, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(ascii(text) * (page_id % 101)) AS BIGINT) AS first_characters FROM (SELECT page_id, {_PAGE_TEXT} AS text FROM pages)")
 def flagship_page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are typed, routed, read, and summed up."""
-    return X.summary(X.extract(page_files(spark, sf_dir), X.ExtractionConfig(content=True)))
+    """Pages are typed, routed, read, and summed up."""
+    out = X.extract(page_files(spark, sf_dir), X.ExtractionConfig(content=True))
+    return X.summary(out, F.sum(F.length("text")).alias("characters"), F.sum(F.ascii("text") * (F.col("page_id") % 101)).alias("first_characters"))
 
 
 @query(f"SELECT page_id, 'html' AS label, 'text/html' AS mime_type, {_PAGE_TEXT} AS text, CAST(1 AS BIGINT) AS n_parts, 'detection,parsing' AS steps FROM pages")
@@ -99,7 +100,9 @@ def x1_x12_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", C.canonical_text(text, parts).alias("text"), F.coalesce(C.has_text(text, parts), F.lit(False)).alias("has_text"))
 
 
-_EXTENSIONS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in D.TEXT_EXTENSIONS.items()) + "}"
+# Extensions that decide a type, written out here so that the SQL doesn't follow the library's own table.
+_EXTENSIONS = """map {'css': 'css', 'csv': 'csv', 'go': 'go', 'ini': 'ini', 'java': 'java', 'js': 'javascript', 'json': 'json', 'md': 'markdown', 'nix': 'nix', 'php': 'php', 'py': 'python',
+'rb': 'ruby', 'rs': 'rust', 'sh': 'shell', 'sql': 'sql', 'toml': 'toml', 'ts': 'typescript', 'tsv': 'tsv', 'txt': 'txt', 'yaml': 'yaml', 'yml': 'yaml'}"""
 
 
 @query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS name FROM pages UNION ALL SELECT -p_partkey, lower(p_name) || '.' || substr('csvmdpyymltxtnixHTML', 1 + CAST(p_partkey % 17 AS INT), 2) FROM part),
@@ -143,7 +146,7 @@ _P = "list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))"
 @query(f"""WITH s AS (SELECT vec_id, {_P} AS p FROM embeddings), b AS (SELECT vec_id, list_position(p, list_max(p)) - 1 AS i, list_max(p) AS m FROM s)
 SELECT vec_id, CAST(i AS BIGINT) AS index, m AS score, CASE WHEN m < 0.35 THEN CASE WHEN i % 2 = 0 THEN 'txt' ELSE 'unknown' END ELSE CASE WHEN i % 2 = 0 THEN 'html' ELSE 'pdf' END END AS label FROM b""")
 def d8_d9_argmax_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores to labels; absolute components stand for scores."""
+    """Scores to labels; absolute components stand for scores."""
     best = D.argmax(F.transform("e", F.abs))
     rows = _vector(spark, sf_dir).select("vec_id", best.alias("b"))
     label = F.when(F.col("b.index") % 2 == 0, "html").otherwise("pdf")
@@ -156,17 +159,34 @@ def d15_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_files(spark, sf_dir).select("page_id", blake3_hex(F.col("content")).alias("hash"))
 
 
-@query()
+@query(r"""WITH h AS (SELECT page_id, hex(encode(html)) AS h FROM pages), x AS (SELECT page_id, h, regexp_replace(h[1:8192], '^(09|0A|0B|0C|0D|20)+', '')[1:2048] AS head, regexp_replace(right(h, 8192), '(09|0A|0B|0C|0D|20)+$', '') AS tail FROM h)
+SELECT page_id, CASE WHEN h = '' THEN -1 ELSE 2048 END AS n, head, right(tail, 2048) AS tail, CASE WHEN h = '' THEN 'empty' WHEN length(head) < 16 THEN 'txt' END AS ruled FROM x""")
 def d4_d5_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A classifier's inputs for every page, and how many places are filled."""
+    """A classifier's inputs for every page, in hexadecimal without the padding, and what short ones are by rule."""
     rows = page_files(spark, sf_dir).select("page_id", "content", D.features()(D.edge_sample(F.col("content"), 4096)).alias("f"))
-    return rows.select("page_id", F.size("f").alias("n"), F.size(F.filter("f", lambda x: x != 256)).alias("filled"), D.short_label(F.col("content"), F.col("f")).alias("ruled"))
+    text = lambda a: F.array_join(F.transform(F.filter(F.slice("f", a, 1024), lambda x: x != 256), lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    return rows.select("page_id", F.size("f").alias("n"), text(1).alias("head"), text(1025).alias("tail"), D.short_label(F.col("content"), F.col("f")).alias("ruled"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS name FROM pages)
+SELECT page_id, CASE WHEN name <> '' THEN CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN regexp_extract(name, '^(.+)\.[^.]*$', 1) ELSE name END END AS stem, CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN regexp_extract(name, '\.([^.]*)$', 1) END AS extension,
+'html' AS label, 'text/html' AS mime_type, 'HTML document' AS description, true AS is_text, CAST(1 AS FLOAT) AS confidence, 'signature' AS origin, CAST(64 AS INTEGER) AS hash_length FROM p""")
 def d14_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata of every page."""
-    return with_metadata(page_files(spark, sf_dir)).select("page_id", "metadata.*")
+    """Metadata of every page; of the hash, which SQL has no function for, the length (d15_blake3 gives it whole)."""
+    out = with_metadata(page_files(spark, sf_dir)).select("page_id", "metadata.*")
+    return out.withColumn("hash_length", F.length("hash")).drop("hash")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'docx' WHEN 2 THEN NULL WHEN 3 THEN 'csv' ELSE 'zip' END AS label, CASE p_partkey % 5 WHEN 0 THEN 'UnsupportedFileType' WHEN 1 THEN 'ExtractionEngine' WHEN 2 THEN 'NoContents' WHEN 4 THEN 'UnsupportedFileType' END AS kind,
+CASE WHEN p_partkey % 5 = 1 THEN 'office' END AS engine, CASE WHEN p_partkey % 5 = 3 THEN 'rule' END AS typed_by, CASE WHEN p_partkey % 5 = 3 THEN 'direct' END AS read_by, CASE WHEN p_partkey % 5 = 3 THEN p_name END AS text FROM part""")
+def p3_x18_failed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors beside the metadata that are known, and the engines that audits and errors name; one for each part."""
+    k = F.col("p_partkey") % 5
+    zipped = F.concat(F.unhex(F.lit("504B0304")), F.lit("word/document.xml").cast("binary"))
+    content = F.when(k == 0, F.unhex(F.lit("FFFEFDFC80"))).when(k == 1, zipped).when(k == 2, F.lit("").cast("binary")).when(k == 3, F.col("p_name").cast("binary")).otherwise(F.unhex(F.lit("504B030400FF")))
+    files = table(spark, sf_dir, "part").select("p_partkey", F.when(k == 3, "names.CSV").otherwise("data").alias("path"), content.alias("content"))
+    out = X.extract(files, X.ExtractionConfig(content=True))
+    return out.select("p_partkey", "metadata.label", "error.kind", "error.engine", F.get("pipeline", 0)["engine"].alias("typed_by"), F.get("pipeline", 1)["engine"].alias("read_by"), "text")
 
 
 _ROUTES = """CASE WHEN m = 'application/pdf' THEN 'pdf' WHEN m IN ('application/msword', 'application/vnd.openxmlformats-officedocument.presentationml.presentation', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document') THEN 'office'
@@ -239,13 +259,16 @@ def e8_position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, sf_dir).select("vec_id", V.position_ids(mask, 1).cast("array<int>").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {a}, '{b}', {c})" for k, (a, b, c) in ENCODERS.items()) + ") t(model, size, pooling, most_tokens)")
+# The encoders' sizes, poolings and token limits, written out for the SQL.
+@query("""SELECT * FROM (VALUES ('all-MiniLM-L6-v2', 384, 'mean', 256), ('all-MiniLM-L12-v2', 384, 'mean', 128), ('bge-small-en-v1.5', 384, 'cls', 512), ('bge-base-en-v1.5', 768, 'cls', 512),
+('bge-large-en-v1.5', 1024, 'cls', 512), ('all-mpnet-base-v2', 768, 'mean', 384), ('bge-m3', 1024, 'cls', 8192)) t(model, size, pooling, most_tokens)""")
 def e3_e7_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The known encoders."""
     return spark.createDataFrame([(k, *v) for k, v in ENCODERS.items()], "model string, size int, pooling string, most_tokens int")
 
 
-@query()
+@query("""SELECT CAST(q AS INTEGER) AS query, list(CAST(CASE WHEN k > q THEN 16 ELSE 0 END + CASE WHEN abs(k - q) < 8 THEN abs(k - q) ELSE least(15, 8 + trunc(ln(greatest(abs(k - q), 1) / 8.0) / ln(16.0) * 8)) END AS INTEGER) ORDER BY k) AS buckets
+FROM range(128) a(q), range(128) b(k) GROUP BY q""")
 def e14_relative_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of the distances within 128 positions."""
     b = V.relative_buckets(128)
@@ -299,7 +322,7 @@ def _boxes(c: str = "e") -> list:
 i AS (SELECT vec_id, a, b, greatest(least(a[3], b[3]) - greatest(a[1], b[1]), 0) * greatest(least(a[4], b[4]) - greatest(a[2], b[2]), 0) AS c, (a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) AS s FROM b)
 SELECT vec_id, round(CASE WHEN s - c <= 0 THEN 0 ELSE c / (s - c) END, 9) AS iou FROM i""")
 def l10_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of two boxes made of a vector's components."""
+    """Overlap of two boxes made of a vector's components."""
     a, b = _boxes()
     return _vector(spark, sf_dir).select("vec_id", F.round(G.iou(a, b), 9).alias("iou"))
 
@@ -341,14 +364,39 @@ def l5_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector(spark, sf_dir).select("vec_id", G.proposals(scores, 5).cast("array<int>").alias("top"))
 
 
-_LABELS = "[" + ", ".join(f"'{x}'" for x in G.LAYOUT_LABELS) + "]"
+# Names of the layout classes, written out for the SQL.
+_LABELS = """['abstract', 'algorithm', 'aside_text', 'chart', 'content', 'formula', 'doc_title', 'figure_title', 'footer', 'footer', 'footnote', 'formula_number', 'header', 'header', 'image',
+'formula', 'number', 'paragraph_title', 'reference', 'reference_content', 'seal', 'table', 'text', 'text', 'vision_footnote']"""
+
+
+@query(f"SELECT event_id, coalesce({_LABELS}[1 + CAST(event_id % 27 AS INT)], CAST(event_id % 27 AS VARCHAR)) AS label FROM events")
+def l13_layout_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class ids to names, two of them beyond the list; one for each event."""
+    return table(spark, sf_dir, "events").select("event_id", G.layout_label((F.col("event_id") % 27).cast("int")).alias("label"))
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS FLOAT) AS x, CAST(embedding[2] AS FLOAT) AS y, CAST(CAST(embedding[3] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS FLOAT) AS width, CAST(CAST(embedding[4] AS DOUBLE) - CAST(embedding[2] AS DOUBLE) AS FLOAT) AS height FROM embeddings")
+def l15_extent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges to corner and size; components stand for edges."""
+    at = lambda i: F.element_at("e", i)
+    return _vector(spark, sf_dir).select("vec_id", G.extent_box(at(1), at(2), at(3), at(4)).alias("b")).select("vec_id", "b.*")
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN vec_id END AS page, CASE WHEN vec_id % 3 = 0 THEN CAST(abs(embedding[5]) AS FLOAT) END AS confidence, CAST(embedding[1] AS FLOAT) AS x, CAST(embedding[2] AS FLOAT) AS y,
+CAST(embedding[3] AS FLOAT) AS width, CAST(embedding[4] AS FLOAT) AS height FROM embeddings""")
+def x17_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a part comes from: its box, and its page and confidence where they are known."""
+    at = lambda i: F.element_at("e", i)
+    own = C.provenance(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")), C.box(at(1), at(2), at(3), at(4)), F.when(F.col("vec_id") % 3 == 0, F.abs(at(5))))
+    rows = _vector(spark, sf_dir).select("vec_id", C.part(F.lit(0), F.lit("text"), F.lit("x"), own)["provenance"].alias("p"))
+    return rows.select("vec_id", "p.page", "p.confidence", "p.bbox.*")
 
 
 @query(f"""WITH c AS (SELECT vec_id, embedding AS e, unnest(range(50)) AS k FROM embeddings),
 s AS (SELECT vec_id, k // 25 AS p, k % 25 AS c, {_SIGMOID.format(x="e[k + 1]")} AS score, e FROM c), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, p, c) AS n FROM s WHERE score >= 0.5)
 SELECT vec_id, CAST(count(*) AS BIGINT) AS found, max(score) AS best, string_agg({_LABELS}[c + 1], ',' ORDER BY CASE p WHEN 0 THEN 1 ELSE 0 END, {_LABELS}[c + 1], score) AS labels FROM t WHERE n <= 10 GROUP BY vec_id""")
 def l7_l8_l12_layout_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of two proposals with 25 classes each, at most ten, in reading order."""
+    """Detections of two proposals with 25 classes each, at most ten, in reading order."""
     logits = F.array(F.slice("e", 1, 25), F.slice("e", 26, 25))
     boxes = F.array(*[F.array(*[F.lit(x) for x in b]) for b in ((0.5, 0.5, 0.2, 0.2), (0.5, 0.2, 0.2, 0.2))])
     found = G.in_reading_order(G.layout_candidates(logits, boxes, F.array(F.lit(1), F.lit(0)), F.lit(100), F.lit(200), 0.5, 10))

@@ -20,5 +20,5 @@ def test_has_rows(name, spark, sf):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["files", "succeeded", "failed"]
+    assert e.entry(spark).columns == ["files", "succeeded", "failed", "characters", "first_characters"]
     assert set(e.oracle_sql()) <= set(e.queries())
