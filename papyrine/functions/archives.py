@@ -1,12 +1,10 @@
-"""Text of zipped documents and of simple PDF files, with the standard library."""
+"""Text of zipped documents, with the standard library."""
 
 from __future__ import annotations
 
 import io
 import posixpath
-import re
 import zipfile
-import zlib
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -53,59 +51,3 @@ def pptx_text(content: bytes) -> str:
         slides = [_root(z, posixpath.normpath(posixpath.join("ppt", rels[i].lstrip("/").removeprefix("ppt/")))) for i in ids]
     pages = ["\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in s.iter(f"{_A}p")) for s in slides]
     return "\n\n".join(pages).strip()
-
-
-_STRING = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|T[Jj*dDm]|'|\"|-?\d+\.?\d*|/?[A-Za-z*]+", re.DOTALL)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
-    un = lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1] in b"\r\n" else m[1])
-    return re.sub(rb"\\([0-7]{1,3}|.)", un, token[1:-1], flags=re.DOTALL).decode("latin-1")
-
-
-def pdf_pages(content: bytes) -> list[str]:
-    """Text of each page of a PDF whose fonts have one-byte codes; streams may be deflated. ValueError for others.
-
-    Best effort: no encryption, no object streams, no composite fonts.
-    """
-    if b"/Encrypt" in content:
-        raise ValueError("encrypted PDF")
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(?:^|[\r\n\s])(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.DOTALL)}
-    pages = []
-    for body in objects.values():
-        head = body.split(b"stream", 1)[0]
-        if not re.search(rb"/Type\s*/Page\b(?!s)", head):
-            continue
-        spot = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", head)
-        text = []
-        for ref in re.findall(rb"(\d+)\s+\d+\s+R", spot[1]) if spot else []:
-            raw = objects.get(int(ref), b"")
-            m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", raw, re.DOTALL)
-            if not m:
-                continue
-            try:
-                data = zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in raw[: m.start()] else m[1]
-            except zlib.error as e:
-                raise ValueError(f"damaged stream: {e}") from None
-            held: list[str] = []
-            for block in re.findall(rb"\bBT\b(.*?)\bET\b", data, re.DOTALL):
-                for token in _STRING.findall(block):
-                    if token[:1] in b"(<":
-                        held.append(_pdf_string(token))
-                    elif token in (b"Tj", b"TJ"):
-                        text.append("".join(held))
-                        held = []
-                    elif token in (b"'", b'"'):
-                        text.append("\n" + "".join(held))
-                        held = []
-                    elif token in (b"Td", b"TD", b"T*", b"Tm"):
-                        text.append("\n")
-                text.append("\n")
-        pages.append("\n".join(x.strip() for x in "".join(text).split("\n") if x.strip()))
-    if not pages:
-        raise ValueError("no page is found")
-    return pages

@@ -13,6 +13,7 @@ from ..functions import archives
 from ..functions import content as C
 from ..functions.detect import ORIGIN_ENGINE, _map, is_utf8
 from ..functions.markup import markup_text
+from ..functions.pdf import pdf_document
 from ..providers import Classifier, OcrModels
 from ..schema import ERROR, METADATA, PARTS, STEPS, error, null
 from .detection import described, metadata_of
@@ -74,11 +75,10 @@ def route(mime: Column, is_text: Column) -> Column:
 READ = f"struct<text:string,parts:{PARTS},pages:bigint,fault:string,ms:bigint>"
 
 
-def _parts(texts: list, pages: bool = False, boxes: list | None = None) -> list[dict]:
-    """Parts with a text other than white space, numbered from 0."""
-    some = [(i, t) for i, t in enumerate(texts) if t.strip()]
-    place = lambda i: {"confidence": boxes[i]["confidence"] if boxes else None, "page": i + 1 if pages else None, "bbox": boxes[i]["bbox"] if boxes else None}
-    return [{"index": k, "kind": "text", "text": t, "provenance": place(i)} for k, (i, t) in enumerate(some)]
+def _parts(blocks: list[dict]) -> list[dict]:
+    """Parts of recognised blocks with a text other than white space, numbered from 0."""
+    some = [b for b in blocks if b["text"].strip()]
+    return [{"index": k, "kind": "text", "text": b["text"], "provenance": {"confidence": b["confidence"], "page": None, "bbox": b["bbox"]}} for k, b in enumerate(some)]
 
 
 def _reader(models: OcrModels | None):  # noqa: ANN202
@@ -89,11 +89,12 @@ def _reader(models: OcrModels | None):  # noqa: ANN202
             if models is None:
                 raise ValueError("no text recognition models are given")
             blocks = page_of(decoded(x), models)["blocks"]
-            parts = _parts([b["text"] for b in blocks], boxes=blocks)
+            parts = _parts(blocks)
             return "\n\n".join(p["text"] for p in parts) or None, parts, None
         if kind == "pdf":
-            pages = archives.pdf_pages(x)
-            return "\n".join(pages), _parts(pages, pages=True) or None, len(pages)
+            pages, found = pdf_document(x)
+            parts = [{"index": i, "kind": e["kind"], "text": e["text"], "provenance": {"confidence": None, "page": e["page"], "bbox": e["bbox"]}} for i, e in enumerate(found)]
+            return "\n".join(pages), parts or None, len(pages)
         readers = {"docx": archives.docx_text, "pptx": archives.pptx_text, "epub": archives.epub_text}
         if kind not in readers:
             raise ValueError(f"no reader for {kind} is built in")
