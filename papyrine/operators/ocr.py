@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import imaging as I
+from ..functions.jpeg import decode_jpeg
 from ..providers import OcrModels, loaded
 from ..schema import OCR_PAGE, null
 
@@ -18,8 +19,8 @@ BATCH = 16
 
 
 def decoded(content: bytes) -> np.ndarray:
-    """RGB pixels. Only PNG is decoded here; other image formats are a ValueError."""
-    return I.decode_png(content)
+    """RGB pixels of a PNG or JPEG image; other formats are a ValueError."""
+    return decode_jpeg(content) if content[:2] == b"\xff\xd8" else I.decode_png(content)
 
 
 def page_of(pixels: np.ndarray, models: OcrModels) -> dict:
