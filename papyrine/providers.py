@@ -40,13 +40,39 @@ def asset(path: str) -> str:
     return found
 
 
-def session(path: str, inputs: dict[str, int] | None = None):  # noqa: ANN201
+def pinned(cache: str, repo: str, name: str, revision: str | None = None) -> str:
+    """The path of a file in a shared model cache of the usual hub layout, at a revision or at what ``main`` names there.
+
+    Nothing is fetched: a cluster's tasks read what was put into the shared folder.
+    """
+    base = os.path.join(cache, "models--" + repo.replace("/", "--"))
+    if revision is None:
+        with open(os.path.join(base, "refs", "main"), encoding="utf-8") as f:
+            revision = f.read().strip()
+    path = os.path.join(base, "snapshots", revision, name)
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"{name} of {repo} at {revision} isn't in {cache}")
+    return path
+
+
+# Execution providers by preference.
+ACCELERATORS = ("CUDAExecutionProvider", "ROCMExecutionProvider", "CoreMLExecutionProvider", "DmlExecutionProvider")
+
+
+def devices(available: list[str], device: str = "auto") -> list[str]:
+    """Execution providers to try: an accelerator where one answers, then the CPU; ``cpu`` asks for it alone."""
+    if device not in ("auto", "cpu"):
+        raise ValueError(f"unknown device {device}")
+    return [x for x in ACCELERATORS if device == "auto" and x in available][:1] + ["CPUExecutionProvider"]
+
+
+def session(path: str, inputs: dict[str, int] | None = None, device: str = "auto"):  # noqa: ANN201
     """An ONNX Runtime session of one thread; inputs: names and ranks that the model must have."""
     import onnxruntime as ort
 
     options = ort.SessionOptions()
     options.intra_op_num_threads = options.inter_op_num_threads = 1
-    s = ort.InferenceSession(asset(path), options, providers=["CPUExecutionProvider"])
+    s = ort.InferenceSession(asset(path), options, providers=devices(ort.get_available_providers(), device))
     have = {i.name: len(i.shape) for i in s.get_inputs()}
     for name, rank in (inputs or {}).items():
         if have.get(name, rank) != rank:
@@ -81,7 +107,7 @@ class Classifier:
 
 class _OnnxClassifier:
     def __init__(self, spec: Classifier):
-        self.session = session(spec.path)
+        self.session = session(spec.path, device="cpu")
 
     def scores(self, features: list) -> np.ndarray:
         name = self.session.get_inputs()[0].name
@@ -197,6 +223,54 @@ class _OnnxPairs:
         return self.session.run(None, {i.name: feed[i.name] for i in self.session.get_inputs()})[0].reshape(-1)
 
 
+def _encoder(folder: str):  # noqa: ANN202
+    import json
+
+    from .functions.encoders import Encoder, read_safetensors
+
+    with open(asset(os.path.join(folder, "config.json")), encoding="utf-8") as f:
+        config = json.load(f)
+    return Encoder.of(config, read_safetensors(asset(os.path.join(folder, "model.safetensors")))), config
+
+
+@dataclass(frozen=True)
+class WeightsEncoder:
+    """A published encoder (config.json, model.safetensors, tokenizer.json) in a folder, run in numpy; model is a key of ENCODERS."""
+
+    folder: str
+    model: str = DEFAULT_ENCODER
+
+    def open(self) -> Any:  # noqa: ANN401
+        return _NumpyText(self.folder, *ENCODERS[self.model][1:])
+
+
+@dataclass(frozen=True)
+class WeightsCrossEncoder:
+    """A published pair scorer (config.json, model.safetensors, tokenizer.json) in a folder, run in numpy."""
+
+    folder: str
+
+    def open(self) -> Any:  # noqa: ANN401
+        return _NumpyText(self.folder)
+
+
+class _NumpyText:
+    """Token ids beyond the encoder's positions are cut off, as the model has no state for them."""
+
+    def __init__(self, folder: str, how: str = "cls", limit: int | None = None):
+        self.encoder, config = _encoder(folder)
+        self.how, most = how, config["max_position_embeddings"] - (0 if self.encoder.kind == "bert" else 2)
+        self.pad = self.encoder.pad if self.encoder.kind == "roberta" else 0
+        self.tokens = _Tokens(os.path.join(folder, "tokenizer.json"), min(most, limit or most))
+
+    def vectors(self, texts: list[str]) -> np.ndarray:
+        ids, mask = padded(self.tokens(texts), self.pad)
+        return pooled(self.encoder.hidden(ids, mask), mask, self.how)
+
+    def scores(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        return self.encoder.score(*padded(self.tokens(pairs), self.pad))
+
+
 @dataclass(frozen=True)
 class StandInText:
     """Hashed word counts as unit vectors; pairs score by the cosine of theirs."""
@@ -217,6 +291,35 @@ class StandInText:
         return (self.vectors([a for a, _ in pairs]) * self.vectors([b for _, b in pairs])).sum(axis=1)
 
 
+# Names of detectors and recognisers, which may be paired freely, and the tier of each.
+OCR_TIERS = {"PpOcrV6Tiny": "tiny", "PpOcrV6Small": "small", "PpOcrV6Medium": "medium"}
+# Older names of the options and of the models.
+OCR_OPTIONS = {"detection_model": ("detector", "Det"), "recognition_model": ("recognizer", "Rec")}
+
+
+def ocr_options(options: dict[str, str | None] | None = None) -> dict[str, str]:
+    """detection_model and recognition_model by their present names; the tiny ones where none are named."""
+    options = dict(options or {})
+    options.pop("cache_dir", None)
+    out = {}
+    for key, (older, ending) in OCR_OPTIONS.items():
+        if key in options and older in options:
+            raise ValueError(f"{key} is given twice")
+        name = options.pop(key, None) or options.pop(older, None) or "PpOcrV6Tiny"
+        name = name.removesuffix(ending)
+        if name not in OCR_TIERS:
+            raise ValueError(f"unknown {key} {name}")
+        out[key] = name
+    return out
+
+
+def ocr_models(folder: str, options: dict[str, str | None] | None = None) -> OcrModels:
+    """The models of ``ocr_options`` in a shared folder: detection/{tier}.onnx, recognition/{tier}.onnx and .yml."""
+    det, rec = (OCR_TIERS[x] for x in ocr_options(options).values())
+    at = lambda *x: os.path.join(folder, *x)
+    return OcrModels(at("detection", f"{det}.onnx"), at("recognition", f"{rec}.onnx"), at("recognition", f"{rec}.yml"), det, rec)
+
+
 @dataclass(frozen=True)
 class OcrModels:
     """ONNX text detector and recogniser, and the recogniser's YAML file with its characters; tiers may be mixed."""
@@ -225,6 +328,7 @@ class OcrModels:
     recogniser: str
     characters: str
     tier: str = "tiny"
+    recogniser_tier: str = "tiny"
 
     @property
     def least_mean(self) -> float:
