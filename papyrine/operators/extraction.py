@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import archives
 from ..functions import content as C
+from ..functions.compound import doc_text
 from ..functions.detect import ORIGIN_ENGINE, _map, is_utf8
 from ..functions.markup import markup_text
 from ..functions.pdf import pdf_document
@@ -95,7 +96,7 @@ def _reader(models: OcrModels | None):  # noqa: ANN202
             pages, found = pdf_document(x)
             parts = [{"index": i, "kind": e["kind"], "text": e["text"], "provenance": {"confidence": None, "page": e["page"], "bbox": e["bbox"]}} for i, e in enumerate(found)]
             return "\n".join(pages), parts or None, len(pages)
-        readers = {"docx": archives.docx_text, "pptx": archives.pptx_text, "epub": archives.epub_text}
+        readers = {"doc": doc_text, "docx": archives.docx_text, "pptx": archives.pptx_text, "epub": archives.epub_text}
         if kind not in readers:
             raise ValueError(f"no reader for {kind} is built in")
         return readers[kind](x), None, None

@@ -18,11 +18,11 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def ignore_pattern(lines: list[str]) -> list[tuple[bool, str]]:
-    """(ignored, regular expression on the relative path) of each ignore rule, in order; the last that matches decides.
+def ignore_pattern(lines: list[str], base: str = "") -> list[tuple[bool, str, bool]]:
+    """(ignored, regular expression on the relative path, directories only) of each ignore rule, in order.
 
     The usual rules of ignore files: ``#`` comments, ``!`` takes back, a leading or inner ``/`` anchors, a trailing
-    ``/`` means directories, ``**`` crosses them.
+    ``/`` means directories, ``**`` crosses them. base: the directory of the file, relative to the root.
     """
     out = []
     for line in lines:
@@ -38,31 +38,72 @@ def ignore_pattern(lines: list[str]) -> list[tuple[bool, str]]:
         body = "/".join(parts).replace("/**/", "/(?:.*/)?")
         body = re.sub(r"^\*\*/", "(?:.*/)?", body)
         body = re.sub(r"/\*\*$", "/.*", body)
-        out.append((not keep, rf"^{'' if anchored else '(?:.*/)?'}{body}{'/.+' if folder else '(?:/.+)?'}$"))
+        prefix = re.escape(base.strip("/")) + "/" if base.strip("/") else ""
+        out.append((not keep, rf"^{prefix}{'' if anchored else '(?:.*/)?'}{body}$", folder))
     return out
 
 
-def not_ignored(relative: Column, rules: list[str] | None = None, hidden: bool = False) -> Column:
-    """Whether a relative path is walked: no part is hidden (a leading dot), no ignore rule matches."""
-    out = F.lit(False)
-    for ignored, p in ignore_pattern(rules or []):
-        out = F.when(relative.rlike(p), F.lit(ignored)).otherwise(out)
-    return ~out & (F.lit(True) if hidden else ~relative.rlike(r"(^|/)\.[^/]"))
+def not_ignored(relative: Column, rules: list[str] | list[tuple[bool, str, bool]] | None = None, hidden: bool = False) -> Column:
+    """Whether a relative path is walked: no part is hidden (a leading dot), neither it nor a directory above is ignored.
+
+    rules: lines of an ignore file at the root, or what ignore_pattern makes of several; the last that matches decides.
+    What lies in an ignored directory can't be taken back.
+    """
+    rules = rules or []
+    found = ignore_pattern(rules) if rules and isinstance(rules[0], str) else rules
+    out = F.lit(True) if hidden else ~relative.rlike(r"(^|/)\.[^/]")
+    if not found:
+        return out
+    parts = F.split(relative, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+    def ignored(path: Column) -> Column:
+        chain = F
+        for ignore, pattern, folder in reversed(found):
+            chain = chain.when(path.rlike(pattern) & (path != relative) if folder else path.rlike(pattern), F.lit(ignore))
+        return chain.otherwise(F.lit(False))
+
+    return out & ~F.exists(above, ignored)
+
+
+def ignore_files(spark: SparkSession, root: str) -> list[tuple[bool, str, bool]]:
+    """The rules of all ``.gitignore`` files from root on, where it lies in a git repository, then of all ``.ignore`` files.
+
+    Deeper files come later and so decide before those above. One glob for each depth finds them, without a listing
+    of the files to the driver. Ignore files above root aren't read.
+    """
+    jvm, root = spark.sparkContext._jvm, root.rstrip("/")
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at, git = path(root), False
+    while at is not None and not git:
+        git, at = fs.exists(path(at, ".git")), at.getParent()
+    by_name: dict[str, list] = {".gitignore": [], ".ignore": []}
+    base = len(fs.makeQualified(path(root)).toUri().getPath().rstrip("/"))
+    stars = ""
+    while found := fs.globStatus(path(f"{root}{stars}/*")):
+        for name in by_name if git else [".ignore"]:
+            for x in fs.globStatus(path(f"{root}{stars}/{name}")) or []:
+                where = x.getPath().getParent().toUri().getPath()[base:]
+                by_name[name] += ignore_pattern(_lines(spark, x.getPath().toString()), where)
+        stars += "/*"
+        if not len(found):
+            break
+    return by_name[".gitignore"] + by_name[".ignore"]
 
 
 def read_directory(spark: SparkSession, root: str, rules: list[str] | None = None, hidden: bool = False) -> DataFrame:
     """path, relative, modificationTime, length, content of the files under root that no rule ignores.
 
-    rules are the lines of an ignore file at the root; where none are given they are read from ``.ignore`` and
-    ``.gitignore`` there. Rows aren't sorted: sort a result by path where its order shows. Spark's readers also skip names with a
-    leading underscore.
+    rules are the lines of an ignore file at the root; where none are given those of ``ignore_files`` hold. Rows
+    aren't sorted: sort a result by path where its order shows. Spark's readers also skip names with a leading
+    underscore.
     """
-    if rules is None:
-        rules = [line for name in (".gitignore", ".ignore") for line in _lines(spark, f"{root.rstrip('/')}/{name}")]
+    found = ignore_files(spark, root) if rules is None else ignore_pattern(rules)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")
     relative = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z]+:(//[^/]*)?", ""), f"^/*{re.escape(base.lstrip('/'))}/", "")
-    return files.withColumn("relative", relative).filter(not_ignored(F.col("relative"), rules, hidden))
+    return files.withColumn("relative", relative).filter(not_ignored(F.col("relative"), found, hidden))
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:

@@ -146,6 +146,21 @@ def test_directory(spark, tmp_path):
         files.read_files(spark, str(tmp_path / "nowhere")).count()
 
 
+def test_nested_ignore_files(spark, tmp_path):
+    written = {
+        "a.log": "x", "b.txt": "x", "sub/a.log": "x", "sub/b.txt": "x", "sub/deep/c.log": "x", "sub/deep/d.txt": "x", "out/kept.txt": "x", "g.tmp": "x", "sub/g.tmp": "x", "x/y/z/w.txt": "x",
+        ".ignore": "*.log\nout/\n!out/kept.txt\n/b.txt", "sub/.ignore": "!a.log\n/b.txt", "x/y/.ignore": "z/", ".gitignore": "*.tmp",
+    }
+    for name, text in written.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    walked = lambda: [r.relative for r in files.read_directory(spark, str(tmp_path)).orderBy("relative").collect()]
+    assert walked() == ["g.tmp", "sub/a.log", "sub/deep/d.txt", "sub/g.tmp"]
+    (tmp_path / ".git").mkdir()
+    assert walked() == ["sub/a.log", "sub/deep/d.txt"]
+
+
 def test_stream(spark, tmp_path):
     src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
     (tmp_path / "src").mkdir()
