@@ -175,6 +175,17 @@ def extract(files: DataFrame, config: ExtractionConfig | None = None) -> DataFra
     )
 
 
+def part_rows(results: DataFrame) -> DataFrame:
+    """A row for each part (index, kind, text, provenance) beside the other columns of results; parts is dropped.
+
+    Use it in place of explode: the filter that Spark infers for explode goes down to the scan with the whole extraction
+    in it, which reads each document twice and makes code too large to compile.
+    """
+    rest = [c for c in results.columns if c != "parts"]
+    rows = results.select(*rest, F.explode_outer("parts").alias("_part"))
+    return rows.filter(F.col("_part").isNotNull()).select(*rest, "_part.*")
+
+
 def summary(results: DataFrame, *more: Column) -> DataFrame:
     """files, succeeded, failed and further aggregates: one row."""
     return results.agg(F.count("*").alias("files"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), *more)

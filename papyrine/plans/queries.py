@@ -224,6 +224,25 @@ def x15_a3_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", get(0, "types"), get(1, "parts"), get(1, "texts"))
 
 
+def _data_sheets(parts: DataFrame) -> DataFrame:
+    """A PDF of two pages for each part: a title and a paragraph; a list and a table."""
+    lit = lambda x: F.regexp_replace(F.coalesce(F.col(x).cast("string"), F.lit("")), r"([()\\\\])", r"\\\\$1")
+    first = F.concat(F.lit("BT /F 20 Tf 72 700 Td ("), lit("p_name"), F.lit(") Tj /F 10 Tf 0 -40 Td (The part named ) Tj ("), lit("p_name"), F.lit(") Tj 0 -12 Td (is of type ) Tj ("), lit("p_type"), F.lit(") Tj ET"))
+    second = F.concat(F.lit("BT /F 10 Tf 72 700 Td (- ) Tj ("), lit("p_brand"), F.lit(") Tj 0 -12 Td (- the second) Tj 0 -40 Td (key) Tj 200 0 Td (size) Tj -200 -12 Td ("), lit("p_partkey"), F.lit(") Tj 200 0 Td ("), lit("p_size"), F.lit(") Tj ET"))
+    stream = lambda n, x: F.concat(F.lit(f"{n} 0 obj\n<< /Length "), F.octet_length(x).cast("string"), F.lit(" >>\nstream\n"), x, F.lit("\nendstream\nendobj\n"))
+    head = "%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 4 0 R] >>\nendobj\n3 0 obj\n<< /Type /Page /Contents 5 0 R >>\nendobj\n4 0 obj\n<< /Type /Page /Contents 6 0 R >>\nendobj\n"
+    return parts.select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"), F.concat(F.lit(head), stream(5, first), stream(6, second)).cast("binary").alias("content"))
+
+
+@query("""SELECT p_partkey, CAST(i - 1 AS BIGINT) AS part, ['heading', 'paragraph', 'list_item', 'list_item', 'table', 'table', 'table', 'table'][i] AS kind, CAST(CASE WHEN i < 3 THEN 1 ELSE 2 END AS BIGINT) AS page,
+  [p_name, 'The part named ' || p_name || ' is of type ' || p_type, p_brand, 'the second', 'key', 'size', CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR)][i] AS text,
+  CAST([20, 22, 22, 22, 22, 22, 22, 22][i] AS BIGINT) AS height FROM part, range(1, 9) r(i)""")
+def x8_x9_pdf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of PDF pages with kind, page and box, for a data sheet made of each part."""
+    out = X.extract(_data_sheets(table(spark, sf_dir, "part")), X.ExtractionConfig(parts=True)).select("p_partkey", "parts")
+    return X.part_rows(out).select("p_partkey", F.col("index").alias("part"), "kind", "provenance.page", "text", F.round("provenance.bbox.height").cast("bigint").alias("height"))
+
+
 @query("SELECT page_id, CAST(json_extract_string(j, '$.index') AS BIGINT) AS index, json_extract_string(j, '$.kind') AS kind, json_extract_string(j, '$.text') AS text FROM (SELECT page_id, to_json({'index': 0, 'kind': 'text', 'text': url}) AS j FROM pages)")
 def s12_s15_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as JSON without null fields, read again."""
