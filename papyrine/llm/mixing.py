@@ -17,6 +17,8 @@ from .scratch import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: (time, relative weight) knots: falling, level, rising; dealt to sources in turn.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
+#: A mix's order; what follows the position parts copies that fall due at the same time.
+ORDER = ("position", "rank", "doc_id", "size", "copy", "uid")
 
 
 def _inverse(demand: Column, knots: tuple) -> Column:
@@ -56,8 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple = (3, 1, 2), budget: float =
     return own.select("source", "rank", "weight", "source_size", "target")
 
 
-def _plan(docs: DataFrame, weights: tuple, budget: float, most: int, schedules: tuple) -> DataFrame:
-    """mix's columns and uid for each row of docs (uid, doc_id, text, source)."""
+def _plan(docs: DataFrame, weights: tuple, budget: float, most: int) -> DataFrame:
+    """uid, doc_id, source, size, source_size, target, rank, before, copies for each row of docs (uid, doc_id, text, source)."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     rows = stored(rows, "sizes")
@@ -74,42 +76,54 @@ def _plan(docs: DataFrame, weights: tuple, budget: float, most: int, schedules:
     own = own.alias("d").join(ranges.alias("s"), F.expr("d.source <=> s.source and d.range = s.range")).select("d.uid", "d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.rank", "s.full", "s.extra", (F.col("d.upto") + F.col("s.before")).alias("before"))
     more = F.col("before") + F.col("size") / 2 < F.col("extra")
     own = own.withColumn("copies", (F.col("full") + F.when(more, 1).otherwise(0)).cast("int"))
+    return own.drop("full", "extra")
 
-    def position(copy: Column) -> Column:
-        demand = (copy * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
-        demand = F.least(demand, F.lit(1.0))
-        t = _inverse(demand, schedules[0])
-        for k in range(1, len(schedules)):
-            t = F.when(F.col("rank") % len(schedules) == k, _inverse(demand, schedules[k])).otherwise(t)
-        return F.when(F.col("copies") > copy, t)
 
-    own = own.withColumn("first_position", position(F.lit(0))).withColumn("last_position", F.when(F.col("copies") > 0, position(F.col("copies") - 1)))
-    return own.select("uid", "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "first_position", "last_position")
+def _copies(plan: DataFrame, schedules: tuple) -> DataFrame:
+    """ORDER's columns of each copy that plan takes: the demand of every one is inverted through its source's schedule."""
+    out = plan.filter("copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    demand = (F.col("copy") * F.col("source_size") + F.col("before") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))
+    demand = F.least(demand, F.lit(1.0))
+    t = _inverse(demand, schedules[0])
+    for k in range(1, len(schedules)):
+        t = F.when(F.col("rank") % len(schedules) == k, _inverse(demand, schedules[k])).otherwise(t)
+    return out.withColumn("position", t).select(*ORDER)
+
+
+def _range_sorted(copies: DataFrame) -> DataFrame:
+    return copies.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
 
 
 def mix(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, most: int = 2, schedules: tuple = SCHEDULES) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, copies, first_position, last_position of each row of docs (doc_id, text, source, ...).
+    """doc_id, size, source_size, target, taken, source, copies, first_position, last_position, first_start of each row of docs (doc_id, text, source, ...).
 
     size counts the words of the whole text, 0 without one. A source's documents are ordered by the MD5 of
     the id. With target = k * source_size + r, each is taken k times, and the first ones once more until
-    their words come nearest to r. taken = size * copies. A position is the training time, 0 to 1, at which
-    the copy's middle falls due; null if it isn't taken. Sources of no words have target 0; an empty table gives
-    an empty result; rows that repeat an id are mixed each for itself, the smaller first, and a null id sorts as
-    an empty text. Sums run over ranges of this order, which part sources and ids, so no task holds a whole one.
+    their words come nearest to r. A position is the training time, 0 to 1, at which a copy's middle falls due.
+    The copies are written to the shared folder range-sorted by position; taken (their words), copies, positions
+    and first_start (the mix's words before the first copy) are read back from there, the last three null if
+    there is none. Sources of no words have target 0; an empty table gives an empty result; rows that repeat an
+    id are mixed each for itself, the smaller first, and a null id sorts as an empty text. Sums run over ranges
+    of an order, which part sources and ids, so no task holds a whole one.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), *[F.col(c) for c in ("doc_id", "text", "source")])
-    return _plan(rows, weights, budget, most, schedules).drop("uid")
+    plan = stored(_plan(rows, weights, budget, most), "plan")
+    copies = stored(_range_sorted(_copies(plan, schedules)).withColumn("range", F.spark_partition_id()), "mix")
+    ranges = copies.groupBy("range").agg(F.sum("size").alias("n"))  # a row a range
+    ranges = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("earlier"))
+    inner = Window.partitionBy("range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    copies = copies.withColumn("upto", F.sum("size").over(inner) - F.col("size")).join(ranges, "range").withColumn("start", F.col("upto") + F.col("earlier"))
+    own = copies.groupBy("uid").agg(F.sum("size").alias("taken"), F.count("*").cast("int").alias("copies"), F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.min("start").alias("first_start"))
+    out = plan.drop("copies").join(own, "uid", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source", F.coalesce("copies", F.lit(0)).alias("copies"), "first_position", "last_position", "first_start")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = (3, 1, 2), budget: float = 1.5, most: int = 2, schedules: tuple = SCHEDULES) -> DataFrame:
     """The rows of docs as often as mix takes them, range-sorted by training position. The columns of docs.
 
-    Each row is taken by its own plan, whatever its id; more than two copies lie evenly between the first position
-    and the last. A row without words has a size of 0 and is taken as mix says. An empty table gives an empty result.
+    Each row is taken by its own plan, whatever its id, and each copy stands at its own position. A row without
+    words has a size of 0 and is taken as mix says. An empty table gives an empty result.
     """
     own = numbered(docs)
-    plan = _plan(own.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source")), weights, budget, most, schedules).filter("copies > 0")
-    nth = lambda i: F.when(i == 0, F.col("first_position")).otherwise(F.col("first_position") + (F.col("last_position") - F.col("first_position")) * i / (F.col("copies") - 1))
-    plan = plan.select("uid", F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), nth)).alias("position"))
-    out = own.join(plan, "uid").repartitionByRange("position", "uid").sortWithinPartitions("position", "uid")
-    return out.select("row.*")
+    plan = _plan(own.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source")), weights, budget, most)
+    return _range_sorted(own.join(_copies(plan, schedules), "uid")).select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -176,6 +177,39 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("budget,most", [(1.5, 2), (3.5, 5)])
+def test_mix_is_sorted_by_each_copys_own_position(spark, budget, most):
+    """Against plain Python: each copy's demand inverted by bisection, the copies sorted, their words added up."""
+    docs = documents(spark, 90)
+    got = {r.doc_id: r for r in mixing.mix(docs, budget=budget, most=most).collect()}
+    asked = [lambda t: 1.5 * t - t * t / 2, lambda t: t, lambda t: 0.5 * t + t * t / 2]  # integrals of SCHEDULES
+    copies = []
+    for rank, source in enumerate(["a", "b", "c", None]):
+        before = 0
+        for r in sorted((r for r in got.values() if r.source == source), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()):
+            for copy in range(r.copies):
+                demand, low, high = (copy * r.source_size + before + r.size / 2) / max(r.target, 1.0), 0.0, 1.0
+                for _ in range(60):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if asked[rank % 3](mid) < demand else (low, mid)
+                copies.append((round(high, 9), rank, r.doc_id, r.size))
+            before += r.size
+    assert max(r.copies for r in got.values()) > (2 if most > 2 else 1)
+    copies.sort()
+    assert [r.doc_id for r in mixing.mixed_documents(docs, budget=budget, most=most).collect()] == [i for _, _, i, _ in copies]
+    start, first, last, taken = 0, {}, {}, {}
+    for position, _, i, size in copies:
+        first.setdefault(i, (position, start))
+        last[i], taken[i], start = position, taken.get(i, 0) + size, start + size
+    for i, r in got.items():
+        assert (r.copies > 0) == (i in first) and r.taken == taken.get(i, 0)
+        if r.copies:
+            assert abs(r.first_position - first[i][0]) < 1e-8 and abs(r.last_position - last[i]) < 1e-8
+            assert r.first_start == first[i][1]
+        else:
+            assert r.first_position is r.last_position is r.first_start is None
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
