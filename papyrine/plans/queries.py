@@ -224,6 +224,14 @@ def x15_a3_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", get(0, "types"), get(1, "parts"), get(1, "texts"))
 
 
+def _dealt(rows: DataFrame, key: str, each: int = 5000) -> DataFrame:
+    """rows by key to tasks of about ``each`` rows: a small file is read in one task, however long each of its rows then takes.
+
+    The number of tasks is given, as Spark would join small partitions again by their bytes.
+    """
+    return rows.repartition(max(1, -(-rows.count() // each)), key)
+
+
 def _data_sheets(parts: DataFrame) -> DataFrame:
     """A PDF of two pages for each part: a title and a paragraph; a list and a table."""
     lit = lambda x: F.regexp_replace(F.coalesce(F.col(x).cast("string"), F.lit("")), r"([()\\\\])", r"\\\\$1")
@@ -239,7 +247,8 @@ def _data_sheets(parts: DataFrame) -> DataFrame:
   CAST([20, 22, 22, 22, 22, 22, 22, 22][i] AS BIGINT) AS height FROM part, range(1, 9) r(i)""")
 def x8_x9_pdf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of PDF pages with kind, page and box, for a data sheet made of each part."""
-    out = X.extract(_data_sheets(table(spark, sf_dir, "part")), X.ExtractionConfig(parts=True)).select("p_partkey", "parts")
+    rows = _dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"), "p_partkey")
+    out = X.extract(_data_sheets(rows), X.ExtractionConfig(parts=True)).select("p_partkey", "parts")
     return X.part_rows(out).select("p_partkey", F.col("index").alias("part"), "kind", "provenance.page", "text", F.round("provenance.bbox.height").cast("bigint").alias("height"))
 
 
